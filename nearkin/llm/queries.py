@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import decontamination, packing, token_files
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.OP2_SQL}
