@@ -57,7 +57,7 @@ class _Known(dict):
 class Encoder:
     """encode() gives each text's ids as little-endian unsigned 32-bit integers; a null is an empty text."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -37,6 +37,7 @@ READ_BYTES = 8 << 20
 
 MANIFEST = "file_no int, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
+SUMS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _files(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -148,8 +149,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     return spark.read.schema(MANIFEST).parquet(path)
 
 
-def read_tokens(manifest: DataFrame, wanted: Sequence[int] | None = None) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit), of all documents or of those wanted."""
+def read_tokens(manifest: DataFrame, wanted: Sequence[int] | None = None, sums: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit), of all documents or of those wanted.
+
+    With sums, ids_crc32 (the CRC-32 of those ids) stands in place of ids.
+    """
     spark = manifest.sparkSession
     only = None if wanted is None else set(wanted)
 
@@ -165,21 +169,12 @@ def read_tokens(manifest: DataFrame, wanted: Sequence[int] | None = None) -> Dat
                     for k in range(0, len(places), 256):
                         own = places[k : k + 256]
                         ids = [next(found).astype("<u4").tobytes() for _ in own]
-                        yield pa.RecordBatch.from_arrays([pa.array([r.doc_ids[x] for x in own], pa.int64()), pa.array(starts[own], pa.int64()), pa.array(r.n_tokens[own], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                        last = pa.array(map(zlib.crc32, ids), pa.int64()) if sums else pa.array(ids, pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array([r.doc_ids[x] for x in own], pa.int64()), pa.array(starts[own], pa.int64()), pa.array(r.n_tokens[own], pa.int64()), last], ["doc_id", "start", "n_tokens", "ids_crc32" if sums else "ids"])
 
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # a row for each file
-    return files.repartition(partitions(spark)).mapInArrow(read, DOCUMENTS)
-
-
-def read_crc(manifest: DataFrame) -> DataFrame:
-    """The documents of the files with the CRC-32 of their ids."""
-
-    def crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([zlib.crc32(x.as_buffer()) for x in b.column(3)], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_tokens(manifest).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(partitions(spark)).mapInArrow(read, SUMS if sums else DOCUMENTS)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +182,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_crc(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 2))
+    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 2), sums=True)
