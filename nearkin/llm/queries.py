@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, token_files, topk
+from . import decontamination, packing, substrings, token_files, topk
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
     "op10_top_k": topk.op10_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.OP2_SQL, "op10_top_k": topk.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substrings.OP1_SQL, "op2_decontamination": decontamination.OP2_SQL, "op10_top_k": topk.OP10_SQL}
