@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, substrings, token_files, topk
+from . import decontamination, packing, simhash, substrings, token_files, topk
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_simhash": simhash.op3_simhash,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
     "op10_top_k": topk.op10_top_k,
