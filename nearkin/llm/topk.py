@@ -172,7 +172,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
 
     # first pass: every block of queries with the first block of vectors
     longest = blocks.filter(F.col("block") == first)
-    pairs = queries.withColumn("block", F.lit(first)).join(longest, "block").withColumn("bounds", F.lit(None).cast("binary")).repartition(n)
+    pairs = queries.withColumn("block", F.explode(F.array(F.lit(first)))).join(longest, "block").withColumn("bounds", F.lit(None).cast("binary")).repartition(n)
     head = stored(pairs.mapInArrow(search, FOUND), "top-first")
 
     # second pass: the other blocks, below the bounds that the first pass has left
