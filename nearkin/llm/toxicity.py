@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import held_out, sample
 
@@ -225,7 +226,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remaind
     """docs' columns with held_out, score, predicted and evidence (ids of near examples)."""
     rows = sample(docs, labels, "toxic", modulus, remainder, most, text, key).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # bounded by `most`
     fitted = Scorer([(r["doc_id"], r["text"], r["label"]) for r in rows])
-    schema = docs.schema.add("score", "double").add("evidence", "array<bigint>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
     place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
