@@ -115,7 +115,7 @@ class Reader:
         return int(self.ends[k - 1]) if k else 0
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, text: str = "text", key: str = "doc_id", level: int = 3) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, text: str = "text", key: str = "doc_id", level: int = 1) -> DataFrame:
     """Writes docs' ids, end_id after each, in ascending order of key, a file for each partition; returns the manifest.
 
     A file is written under a name of its attempt and then renamed, so a task that runs again replaces it whole.
