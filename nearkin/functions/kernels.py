@@ -6,7 +6,7 @@ programme, a gap along the target is a running minimum, so no step depends on it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -165,20 +165,24 @@ def distance(query: Column, target: Column, kind: str, costs: Costs, unit: str =
     if kind == "global" and costs.algorithm == "unit":
         return F.levenshtein(view(query, unit), view(target, unit))
 
-    def run(parts: Iterable[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series | pd.DataFrame]:
+    def found(q: pd.Series, t: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        real = (q.notna() & t.notna()).to_numpy()
+        return real, batches(q[real].tolist(), t[real].tolist(), kind, costs, unit)
+
+    def one(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, t in parts:
-            real = (q.notna() & t.notna()).to_numpy()
-            found = batches(q[real].tolist(), t[real].tolist(), kind, costs, unit)
-            if kind == "anchored":
-                out = pd.DataFrame(index=q.index, columns=["distance", "query_size", "target_size"], dtype="Int32")
-                out.loc[real] = found
-                yield out
-            else:
-                s = pd.Series(pd.NA, q.index, dtype="Int32")
-                s[real] = pd.array(found, "Int32")
-                yield s.mask(s < 0)
-
-    kernel = F.pandas_udf(run, ANCHORED if kind == "anchored" else "int")
-    return kernel(query, target)
+            real, values = found(q, t)
+            s = pd.Series(pd.NA, q.index, dtype="Int32")
+            s[real] = pd.array(values, "Int32")
+            yield s.mask(s < 0)
 
+    def three(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for q, t in parts:
+            real, values = found(q, t)
+            out = pd.DataFrame({c: pd.Series(pd.NA, q.index, dtype="Int32") for c in ("distance", "query_size", "target_size")})
+            for k, c in enumerate(out.columns):
+                out.loc[real, c] = pd.array(values[:, k], "Int32")
+            yield out
 
+    kernel = F.pandas_udf(three, ANCHORED) if kind == "anchored" else F.pandas_udf(one, "int")
+    return kernel(query, target)
