@@ -4,8 +4,8 @@ A text is cut where both pre-tokenizers used here always end a pre-token without
 before: at the start of white space, after Latin letters that an ASCII sign or digit follows, and after
 ASCII signs other than the apostrophe (it begins contractions) that a Latin letter follows. So a text's ids
 are those of its pieces, joined. Pieces keep the white space before them where the pre-tokenizer does.
-Pieces repeat, so their ids are kept in a dict, of which long pieces, the rarer ones, are dropped when it is
-full. Texts with a marker of an added token, and files of any other kind of pre-tokenizer, go to the library
+Pieces repeat, so their ids are kept in a dict, of which the pieces that came last, the rarer ones, are dropped
+when it is full. Texts with a marker of an added token, and files of any other kind of pre-tokenizer, go to the library
 whole. Strings of special tokens that a text spells are ordinary text.
 """
 
@@ -15,7 +15,7 @@ import json
 import os
 import re
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -27,8 +27,8 @@ WORDS = f"(?:[{LATIN}]+(?=[{SIGNS}{WHITE}]|\\Z)|[{PLAIN_SIGNS}]+(?=[{LATIN}{WHIT
 PIECES = {"kept": re.compile(f"[{WHITE}]*{WORDS}|[{WHITE}]+"), "dropped": re.compile(WORDS)}
 #: White space to some versions of Unicode only.
 ODD = "\u180e"
-#: Longer pieces leave a full dict first.
-SHORT = 8
+#: Of a full dict, the share of pieces that came first, and so are the more frequent ones, stays.
+EARLY = 0.85
 
 
 def white_space_of(spec: dict) -> str | None:
@@ -57,7 +57,7 @@ class _Known(dict):
 class Encoder:
     """encode() gives each text's ids as little-endian unsigned 32-bit integers; a null is an empty text."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -79,10 +79,9 @@ class Encoder:
         waiting = self.known.missing
         new = list(waiting)
         if len(self.known) + len(new) > self.most:
-            short = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+            early = dict(islice(self.known.items(), int(self.most * EARLY)))
             self.known.clear()
-            if len(short) < self.most // 2:
-                self.known.update(short)
+            self.known.update(early)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             made = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)

@@ -143,7 +143,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([f"{folder}/part-{no:06d}.zst"]), pa.array([len(w.entries)], pa.int64()), pa.array([w.n_tokens], pa.int64())], ["file_no", "path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    placed = rows.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", F.xxhash64("text"), "text")
+    n = partitions(spark)
+    bounds = sorted({int(x) for x in docs.select(F.col(key).cast("long").alias("key")).approxQuantile("key", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
+    place = F.expr(f"coalesce(size(filter(array({', '.join(f'{x}L' for x in bounds)}), b -> b <= key)), 0)") if bounds else F.lit(0)
+    placed = rows.repartitionById(n, place.cast("int")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     path = fresh_path(spark, "manifest")
     placed.mapInArrow(write, MANIFEST).write.parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
