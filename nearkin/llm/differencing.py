@@ -6,7 +6,7 @@ that both share are deleted. Differencing alone leaves what pages do not share (
 page's own) and deletes sentences that two articles share, so containers that name themselves are judged by
 their names: lines in articles stay, lines in menus, headers, footers, sidebars, notices, adverts, forms and
 comments go. Differencing decides on all other lines, unless that leaves a page with nothing. A page without
-a neighbour is judged by its containers.
+a neighbour is judged by its containers; the first and the last page of a task have one neighbour only.
 
 Null pages are empty; pages without a URL are neighbours of one another; repeated rows are separate pages, and
 pages with the same path are no neighbours: their lines are all shared. Other columns are ignored.

@@ -19,6 +19,8 @@ from itertools import chain, islice
 
 import numpy as np
 
+from .shared import own
+
 #: Unicode's White_Space property; Latin letters of every version of Unicode that stay letters in lower case; ASCII signs and digits, then those without the apostrophe (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
@@ -108,6 +110,7 @@ _open: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """This Python worker's encoder of a tokenizer file; its dict of pieces outlives the task."""
+    own("encoding", _open.clear)
     if path not in _open:
         _open[path] = Encoder(path)
     return _open[path]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .shared import steps, utf8
-from .words import BASES, Words, mix
+from .words import BASES, Words, mix, own_words
 
 #: Features, as a power of two; labelled documents used at most; passes over them.
 BITS, EXAMPLES, PASSES = 18, 8000, 4
@@ -82,6 +82,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainde
     weights, intercept = fit([r["text"] for r in rows], [r["label"] for r in rows])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words()
         for b in batches:
             data, offsets = utf8(b.column(2))
             out = [margins(data, offsets[i : j + 1], weights, intercept) for i, j in steps(offsets)]

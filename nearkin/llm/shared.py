@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 STEP_BYTES = 2 << 20
 
 _made: list[str] = []
+_held: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def own(name: str, release: Callable[[], None] | None = None) -> None:
+    """Marks this Python worker as working for an operator; what other operators keep from task to task is dropped."""
+    global _owner
+    if release:
+        _held[name] = release
+    if _owner != name:
+        for other, drop in _held.items():
+            if other != name:
+                drop()
+        _owner = name
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:

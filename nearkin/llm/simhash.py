@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, stored
+from .shared import own, partitions, stored
 
 #: Differing bits of a link; bits of the segments; fingerprints of a key that one search takes.
 BITS, SEGMENTS, MOST = 4, (22, 21, 21), 4096
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str
     """row_id, doc_id and fp of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("simhash")
         for b in batches:
             fps = [fingerprint(shingle_hashes(x.as_py(), shingle)) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["row_id", "doc_id", "fp"])
@@ -200,7 +201,7 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     """Links (a, b) that connect all of the column fp's distinct values that differ in at most four bits."""
     spark = distinct.sparkSession
     n = partitions(spark)
-    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
+    keys = distinct.select("fp").repartition(n).mapInArrow(_keys, "key long, fp long")
     full = stored(keys.groupBy("key").count().filter(F.col("count") > most).select("key"), "full-keys")
     cold = keys.join(full, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_cold, "a long, b long")
     hot = keys.join(full, "key").select("fp").distinct()

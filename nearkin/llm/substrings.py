@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, partitions, steps, stored, utf8
-from .words import BASES, Words, powers, prefix, runs
+from .words import BASES, Words, own_words, prefix, runs
 
 #: Bytes of text in a slab, at least, and for each bucket of a question.
 SLAB_BYTES, BUCKET_BYTES = 4 << 20, 4096
@@ -48,6 +48,7 @@ def _slabs(docs: DataFrame, text: str, key: str, slab_bytes: int) -> DataFrame:
     spark = docs.sparkSession
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words()
         made = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
@@ -258,6 +259,7 @@ def _paths(slabs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     buckets = 2 * partitions(slabs.sparkSession)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, _Questions, list]]:
+        own_words()
         for batch in batches:
             for i in range(batch.num_rows):
                 slab, docs, *answers = (c[i] for c in batch.columns)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, sample
+from .shared import own
 
 #: Labelled documents used at most; terms of the vocabulary; entries that vote; entries of a block.
 EXAMPLES, TERMS, NEAREST, BLOCK = 6000, 400, 12, 64
@@ -222,24 +223,36 @@ class Scorer:
         return self.seen[v]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most: int = EXAMPLES, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs' columns with held_out, score, predicted and evidence (ids of near examples)."""
+def _scored(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, threshold: float, most: int, text: str, key: str) -> DataFrame:
+    """docs' columns, named by their places, then held_out, score, predicted and evidence."""
     rows = sample(docs, labels, "toxic", modulus, remainder, most, text, key).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # bounded by `most`
     fitted = Scorer([(r["doc_id"], r["text"], r["label"]) for r in rows])
+    place, key_place = docs.columns.index(text), docs.columns.index(key)
+    docs = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
-    place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("toxicity")
         for b in batches:
             out = [fitted.score(x.as_py()) for x in b.column(place)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=[*b.schema.names, "score", "evidence"])
 
     scored = docs.mapInArrow(run, schema)
-    return scored.withColumn("held_out", held_out(key, modulus, remainder)).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return scored.withColumn("held_out", held_out(f"c{key_place}", modulus, remainder)).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most: int = EXAMPLES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence (ids of near examples) of each row."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _scored(rows, labels, modulus, remainder, threshold, most, "text", "doc_id").select(F.col("c0").alias("doc_id"), "held_out", "score", "predicted", "evidence")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most: int = EXAMPLES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without those that are predicted toxic."""
+    kept = _scored(docs, labels, modulus, remainder, threshold, most, text, key).filter("predicted = 0")
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents, by labels outside the held-out quarter."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
+    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

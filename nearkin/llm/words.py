@@ -10,6 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .shared import own
+
 U = np.uint64
 #: Odd bases and multipliers; any odd numbers do.
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
@@ -22,6 +24,11 @@ WORD[[9, 10, 11, 12, 13, 32]] = False
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def own_words() -> None:
+    """The operators of this module's hashes keep the powers from task to task."""
+    own("words", _powers.clear)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i below n."""
     have = _powers.get(base)
