@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from . import params
 from .costs import CostMatrix
 from .kernels import distance
-from .units import size, view
 
 
 def charset(*columns: tuple[DataFrame, str]) -> list[str]:
@@ -20,16 +19,6 @@ def charset(*columns: tuple[DataFrame, str]) -> list[str]:
     return sorted(found)
 
 
-def pair_distance(query: Column, target: Column, mode: str, costs: params.Costs, unit: str = "byte") -> Column:
-    """The distance of two columns; Hamming distances of unequal lengths are null."""
-    if mode == "hamming":
-        q, t = view(query, unit), view(target, unit)
-        places = F.sequence(F.lit(1), F.char_length(q))
-        unlike = F.size(F.filter(places, lambda i: F.substring(q, i, F.lit(1)) != F.substring(t, i, F.lit(1))))
-        return F.when(size(query, unit) == size(target, unit), F.when(F.char_length(q) == 0, 0).otherwise(unlike))
-    return distance(query, target, mode, costs, unit)
-
-
 def _spread(df: DataFrame, found: Column, mode: str) -> DataFrame:
     if mode != "anchored":
         return df.withColumn("distance", found)
@@ -42,7 +31,7 @@ def dist_pairwise(pairs: DataFrame, mode: str, query: str = "query", target: str
     costs = params.costs(mode, cost_matrix, gap_cost, gap_open_cost, zero_diagonal=False)
     if costs.matrix:
         costs.matrix.covers(charset((pairs, query), (pairs, target)))
-    return _spread(pairs, pair_distance(F.col(query), F.col(target), mode, costs, unit), mode)
+    return _spread(pairs, distance(F.col(query), F.col(target), mode, costs, unit), mode)
 
 
 def dist_matrix(queries: DataFrame, targets: DataFrame, mode: str, query: str = "query", target: str = "target", query_id: str | None = None, target_id: str | None = None, cost_matrix: CostMatrix | None = None, gap_cost: int | None = None, gap_open_cost: int | None = None, unit: str = "byte") -> DataFrame:
@@ -59,4 +48,4 @@ def dist_matrix(queries: DataFrame, targets: DataFrame, mode: str, query: str =
     q = queries.select(ids[0].alias("query_id"), F.col(query).alias("query"))
     t = targets.select(ids[1].alias("target_id"), F.col(target).alias("target"))
     pairs = q.crossJoin(t).select("query_id", "target_id", "query", "target")
-    return _spread(pairs, pair_distance(F.col("query"), F.col("target"), mode, costs, unit), mode)
+    return _spread(pairs, distance(F.col("query"), F.col("target"), mode, costs, unit), mode)

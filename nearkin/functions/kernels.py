@@ -40,11 +40,11 @@ class Batch:
 
 
 def _padded(texts: list[str], unit: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = [np.frombuffer(codes(x, unit), code_type(unit)) for x in texts]
-    n = np.array([len(x) for x in raw], np.int64)
-    out = np.zeros((len(raw), int(n.max(initial=0))), np.int64)
-    for row, x in zip(out, raw, strict=True):
-        row[: len(x)] = x
+    raw = [codes(x, unit) for x in texts]
+    flat = np.frombuffer(b"".join(raw), code_type(unit))
+    n = np.array(list(map(len, raw)), np.int64) // flat.itemsize
+    out = np.zeros((len(raw), int(n.max(initial=0))), flat.dtype)
+    out[np.arange(out.shape[1]) < n[:, None]] = flat
     return out, n
 
 

@@ -4,8 +4,9 @@ A pair within e edits shares one of e + 1 segments of the target, and the segmen
 left and from the right, as in the Pass-Join filter. Hamming pairs share a segment at the same place; anchored
 pairs share one of the target's prefix that any alignment consumes, bounded from the left. Segments and the
 query's substrings meet by an equi-join on bytes, so the plan is a hash or sort-merge join that AQE can split
-where a segment is frequent. Pairs too short for e + 1 segments, and costs that do not bound the edits, are
-compared in full, below a length filter where one holds.
+where a segment is frequent. Pairs too short for e + 1 segments, thresholds of more than MOST_EDITS (a query
+would ask for more substrings than there is to gain), and costs that do not bound the edits are compared in
+full, below a length filter where one holds.
 
 Both sides hold distinct texts: queries (query, k: the threshold, e: the edits it allows, or null), targets (target).
 """
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.units import size, view
 
 
+#: The most edits for which segments are worth their number of probes, which grows with the cube.
+MOST_EDITS = 16
+
+
 def _segments(text: Column, length: Column, parts: Column) -> Column:
     """Array of (seg, at, piece): a text cut into parts, the longer ones last; at counts from 1."""
     base, extra = F.floor(length / parts).cast("int"), length % parts
@@ -60,9 +65,9 @@ def candidates(queries: DataFrame, targets: DataFrame, mode: str, unit: str = "b
     t = targets.withColumns({"m": size(F.col("target"), unit), "t_text": view(F.col("target"), unit)})
     if strategy == "nested":
         return _nested(q, t, mode, F.lit(True)).select("query", "k", "target")
-    bounded = q.filter("e is not null")
+    bounded = q.filter(F.col("e") <= MOST_EDITS)
     edits = [r[0] for r in bounded.select("e").distinct().collect()]  # a few small numbers
-    free = _nested(q.filter("e is null"), t, mode, F.lit(True)).select("query", "k", "target")
+    free = _nested(q.filter(F.col("e").isNull() | (F.col("e") > MOST_EDITS)), t, mode, F.lit(True)).select("query", "k", "target")
     if not edits:
         return free
     e_values = F.array(*[F.lit(x) for x in edits])

@@ -73,28 +73,29 @@ def set_size_by_len(spark, d):
     return sets.LengthSet(spark, _column(spark, d, "part", "p_name")).lengths()
 
 
-_STORED = "(SELECT DISTINCT p_name AS sequence FROM part WHERE p_partkey % 3 = 0)"
+_STORED = "(SELECT DISTINCT p_name AS sequence FROM part WHERE p_size <= 2)"
 _FIRST = "row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1"
 
 
-def _third(spark: SparkSession, d: str) -> sets.SequenceSet:
-    return sets.SequenceSet(spark, _table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_name").alias("sequence")))
+def _small(spark: SparkSession, d: str) -> sets.SequenceSet:
+    """The names of small parts: a set that lacks some of the names that come next."""
+    return sets.SequenceSet(spark, _table(spark, d, "part").filter("p_size <= 2").select(F.col("p_name").alias("sequence")))
 
 
 @query(f"SELECT p_partkey AS pos, p_name AS sequence, p_name NOT IN (SELECT sequence FROM {_STORED}) AND {_FIRST} AS flag FROM part")
 def insert_flags(spark, d):
-    return _third(spark, d).insert(_keyed(spark, d, "part", "p_partkey", "p_name"))
+    return _small(spark, d).insert(_keyed(spark, d, "part", "p_partkey", "p_name"))
 
 
 @query(f"SELECT p_partkey AS pos, p_name AS sequence, p_name IN (SELECT sequence FROM {_STORED}) AND {_FIRST} AS flag FROM part")
 def erase_flags(spark, d):
-    return _third(spark, d).erase(_keyed(spark, d, "part", "p_partkey", "p_name"))
+    return _small(spark, d).erase(_keyed(spark, d, "part", "p_partkey", "p_name"))
 
 
-@query("SELECT DISTINCT p_name AS sequence FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 37 = 0)")
+@query("SELECT DISTINCT p_name AS sequence FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size = 1)")
 def erase_set(spark, d):
     s = _parts(spark, d)
-    s.erase(_table(spark, d, "part").filter("p_partkey % 37 = 0").select("p_name"))
+    s.erase(_table(spark, d, "part").filter("p_size = 1").select("p_name"))
     return s.to_df()
 
 
@@ -159,10 +160,11 @@ def tree_edges_depth(spark, d):
 # searches
 
 
-@query("SELECT q.query, t.target FROM (SELECT DISTINCT substr(p_name, 1, 4) AS query FROM part) q JOIN (SELECT DISTINCT p_name AS target FROM part) t ON starts_with(t.target, q.query)")
+@query("SELECT q.query, t.target FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+') AS query FROM pages) q JOIN (SELECT DISTINCT url AS target FROM pages) t ON starts_with(t.target, q.query)")
 def prefix_search(spark, d):
-    asked = _table(spark, d, "part").select(F.substring("p_name", 1, 4).alias("query")).distinct()
-    return _parts(spark, d).prefix_search(asked)
+    """All pages of each host."""
+    hosts = _table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("query")).distinct()
+    return search.prefix_search(hosts, _column(spark, d, "pages", "url"), target="sequence")
 
 
 @query("SELECT '' AS query, url AS target FROM (SELECT DISTINCT url FROM pages) q")
@@ -209,10 +211,10 @@ def lev_search(spark, d):
     return s.search(s.df, 2)
 
 
-@query(_lev_sql("(SELECT p_name AS s FROM part WHERE p_size = 1)", _PART, "2"))
+@query(_lev_sql("(SELECT p_name AS s FROM part)", _PART, "1"))
 def lev_search_bag(spark, d):
-    asked = _table(spark, d, "part").filter("p_size = 1").select("p_name")
-    return _parts(spark, d).search(asked, 2)
+    """A row for every part: queries are not made distinct."""
+    return _parts(spark, d).search(_table(spark, d, "part").select("p_name"), 1)
 
 
 @query(_lev_sql(_PART, _PART, "trunc(length(query) * CAST(0.29 AS DOUBLE))"))
@@ -236,13 +238,14 @@ def lev_forest(spark, d):
     return s.search(s.df, 3)
 
 
-_START = "(SELECT DISTINCT substr(text, 1, 40) AS s FROM documents)"
+_ITEM = "(SELECT DISTINCT text AS s FROM benchmark)"
 
 
-@query(_lev_sql(_START, _START, "4"))
+@query(_lev_sql(_ITEM, _ITEM, "trunc(length(query) * CAST(0.75 AS DOUBLE))"))
 def lev_bytes_nonascii(spark, d):
-    rows = _table(spark, d, "documents").select(F.substring("text", 1, 40).alias("sequence")).distinct()
-    return search.dist_search(rows, rows, 4, query="sequence", target="sequence")
+    """Whole texts in several languages: the distance counts bytes, the threshold characters."""
+    rows = _column(spark, d, "benchmark", "text").distinct()
+    return search.dist_search(rows, rows, max_fraction=0.75, query="sequence", target="sequence")
 
 
 def _dp_sql(pairs: str, gap: int, opening: int | None, sub: str = SUB) -> str:
@@ -285,12 +288,7 @@ def _anchored_sql(pairs: str, gap: int, opening: int | None, limit: int, sub: st
 
 UNIT = "CAST({q} <> {t} AS INTEGER)"
 _PAIRS = f"(SELECT q.s AS query, t.s AS target FROM {_DNA} q CROSS JOIN {_DNA} t)"
-#: Queries cut short, so that anchored alignments end in either text.
-_CUT = f"(SELECT DISTINCT substr(q.s, 1, 6) AS query, t.s AS target FROM {_DNA} q CROSS JOIN {_DNA} t)"
-
-
-def _cut(spark: SparkSession, d: str) -> DataFrame:
-    return _dna(spark, d, "query").select(F.substring("query", 1, 6).alias("query")).distinct()
+_NAMES = f"(SELECT q.s AS query, t.s AS target FROM {_PART} q CROSS JOIN {_PART} t)"
 
 
 @query(_global_sql(_PAIRS, 2, None, 2))
@@ -303,19 +301,20 @@ def global_affine(spark, d):
     return search.similarity_join(_dna(spark, d, "query"), _dna(spark, d, "target"), 3, cost_matrix=_costs(), gap_cost=1, gap_open_cost=2)
 
 
-@query(_anchored_sql(_CUT, 1, None, 1, UNIT))
+@query(_anchored_sql(_NAMES, 1, None, 3, UNIT))
 def anchored_unit(spark, d):
-    return search.similarity_join(_cut(spark, d), _dna(spark, d, "target"), 1, mode="anchored")
+    s = _parts(spark, d)
+    return s.search(s.df, 3, mode="anchored")
 
 
-@query(_anchored_sql(_CUT, 2, None, 2))
+@query(_anchored_sql(_PAIRS, 2, None, 2))
 def anchored_linear(spark, d):
-    return search.similarity_join(_cut(spark, d), _dna(spark, d, "target"), 2, mode="an", cost_matrix=_costs(), gap_cost=2)
+    return search.similarity_join(_dna(spark, d, "query"), _dna(spark, d, "target"), 2, mode="an", cost_matrix=_costs(), gap_cost=2)
 
 
-@query(_anchored_sql(_CUT, 1, 2, 2))
+@query(_anchored_sql(_PAIRS, 1, 2, 2))
 def anchored_affine(spark, d):
-    return search.similarity_join(_cut(spark, d), _dna(spark, d, "target"), 2, mode="extension", cost_matrix=_costs(), gap_cost=1, gap_open_cost=2)
+    return search.similarity_join(_dna(spark, d, "query"), _dna(spark, d, "target"), 2, mode="extension", cost_matrix=_costs(), gap_cost=1, gap_open_cost=2)
 
 
 def _single_gap_sql(pairs: str, gap: int, limit: int) -> str:
@@ -330,9 +329,10 @@ def _single_gap_sql(pairs: str, gap: int, limit: int) -> str:
     SELECT query, target, CAST(min(v) AS INTEGER) AS distance FROM c GROUP BY query, target HAVING min(v) <= {limit}"""
 
 
-@query(_single_gap_sql(_CUT, 2, 2))
+@query(_single_gap_sql(_NAMES, 2, 4))
 def single_gap(spark, d):
-    return search.single_gap_search(_cut(spark, d), _dna(spark, d, "target"), 2, 2)
+    s = _parts(spark, d)
+    return s.single_gap_search(s.df, 4, 2)
 
 
 @query(f"SELECT query, target, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, target) AS r FROM ({_lev_sql(_PART, _PART, '4')}) q) p WHERE r <= 3")
@@ -441,26 +441,22 @@ def cost_matrix_ambiguity(spark, d):
     return generate_cost_matrix("ACGT", "N", 0, 3).table(spark)
 
 
-# split search: host and path of URLs, out from the end of the scheme
+# split search: URLs, out from a place near the host's start
 
 _SPLIT = "strpos(url, '://') + 5"
-_SIDES = f"(SELECT url, reverse(substr(url, 1, {_SPLIT})) AS l, substr(url, {_SPLIT} + 1, 12) AS r FROM pages WHERE page_id < 120)"
+_SIDES = f"(SELECT url, reverse(substr(url, 1, {_SPLIT})) AS l, substr(url, {_SPLIT} + 1) AS r FROM pages)"
 
 
-def _split_sql() -> str:
+def _split_sql(limit: int) -> str:
     pairs = f"(SELECT DISTINCT a.l AS query, b.l AS target FROM {_SIDES} a CROSS JOIN {_SIDES} b UNION SELECT DISTINCT a.r, b.r FROM {_SIDES} a CROSS JOIN {_SIDES} b)"
     return (
-        f"{_anchored_cte(pairs, 1, None, UNIT)} SELECT a.cut AS query, b.cut AS target, CAST(x.distance + y.distance AS INTEGER) AS distance FROM (SELECT *, reverse(l) || r AS cut FROM {_SIDES} s) a CROSS JOIN (SELECT *, reverse(l) || r AS cut FROM {_SIDES} s) b"
-        " JOIN an x ON x.query = a.l AND x.target = b.l JOIN an y ON y.query = a.r AND y.target = b.r WHERE x.distance + y.distance <= 2 AND x.distance <= 2 AND y.distance <= 2"
+        f"{_anchored_cte(pairs, 1, None, UNIT)} SELECT a.url AS query, b.url AS target, CAST(x.distance + y.distance AS INTEGER) AS distance FROM {_SIDES} a CROSS JOIN {_SIDES} b"
+        f" JOIN an x ON x.query = a.l AND x.target = b.l JOIN an y ON y.query = a.r AND y.target = b.r WHERE x.distance + y.distance <= {limit}"
     )
 
 
-def split_search(spark: SparkSession, d: str) -> DataFrame:
-    """All URLs, cut after their first characters and twelve after that."""
-    at = F.expr("locate('://', url) + 5")
-    rows = _table(spark, d, "pages").select(F.expr("left(url, locate('://', url) + 17)").alias("sequence"), at.alias("cut"))
-    return split.split_search(rows, rows, "cut", "cut", max_distance=2, query="sequence", target="sequence")
-
-
-QUERIES["split_search"] = split_search
-ORACLE_SQL["split_search"] = _split_sql().replace(" WHERE page_id < 120", "")
+@query(_split_sql(3))
+def split_search(spark, d):
+    """All URLs against all, cut after the first characters of the host."""
+    rows = _table(spark, d, "pages").select(F.col("url").alias("sequence"), F.expr("locate('://', url) + 5").alias("cut"))
+    return split.split_search(rows, rows, "cut", "cut", max_distance=3, query="sequence", target="sequence")
