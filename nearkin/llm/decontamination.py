@@ -6,8 +6,8 @@ goes to every executor. Any occurrence of a window covers one whole such aligned
 only its aligned blocks, a quarter as many as it has words, while its row is scanned. Windows around a hit are
 then compared word by word, by a hash join on their text. No document text is shuffled.
 
-The set is sent only if it has at most MOST_BLOCKS hashes; a larger benchmark is joined by shuffling the
-windows of all documents. Null texts have no words; items without an id are not counted; rows that share a
+The set and the windows are sent only if all items have at most MOST_WINDOWS windows together, counted before;
+a larger benchmark is joined by shuffling the windows of all documents. Null texts have no words; items without an id are not counted; rows that share a
 document id are judged each by itself. With an empty benchmark nothing is hit. Other columns are ignored.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII that is no letter or digit.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-#: The most block hashes that are sent to all executors.
-MOST_BLOCKS = 50_000
+#: The most windows of items that are sent to all executors; each has four block hashes at most.
+MOST_WINDOWS = 20_000
 
 
 def _words(text: Column) -> Column:
@@ -53,8 +53,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 8, text: str = "text",
     lengths = range(1, window + 1)
     half = {m: (m + 1) // 2 for m in lengths}
     per_length = F.coalesce(*[F.when(F.col("m") == m, F.array(*[F.expr(_block("loose", str(k), half[m])) for k in range(half[m])])) for m in lengths])
-    blocks = found.select("m", F.explode(per_length).alias("block")).distinct().limit(MOST_BLOCKS + 1).collect()
-    small = len(blocks) <= MOST_BLOCKS
+    small = found.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS
+    blocks = found.select("m", F.explode(per_length).alias("block")).distinct().collect() if small else []  # bounded by what was counted
     table = found.groupBy("m", "window").agg(F.collect_set("item").alias("items"))
 
     scanned = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("key"), F.col(text).alias("text"), _words(F.lower(F.col(text))).alias("words"))
