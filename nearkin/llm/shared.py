@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 STEP_BYTES = 2 << 20
 
 _made: list[str] = []
+_tables: list[str] = []
 _held: dict[str, Callable[[], None]] = {}
 _owner = ""
 
@@ -54,8 +55,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_at_end(table: str) -> None:
+    """The catalog forgets this table when the driver's Python ends; its files lie below the shared folder."""
+    _tables.append(table)
+
+
 def _remove(spark: SparkSession) -> None:
     try:
+        for table in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _made:
             p = jvm.org.apache.hadoop.fs.Path(path)

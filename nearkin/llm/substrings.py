@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, partitions, steps, stored, utf8
+from .shared import drop_at_end, fresh_path, partitions, steps, stored, utf8
 from .words import BASES, Words, own_words, prefix, runs
 
 #: Bytes of text in a slab, at least, and for each bucket of a question.
-SLAB_BYTES, BUCKET_BYTES = 4 << 20, 4096
+SLAB_BYTES, BUCKET_BYTES = 1 << 20, 4096
 #: Of an edge's occurrences: in several documents; several words before; several words after.
 SHARED, FORKED_IN, FORKED_OUT = 1, 2, 4
 EDGE = np.dtype([("hash", "<u8"), ("before", "<u4"), ("after", "<u4"), ("flags", "u1")])
@@ -63,6 +63,7 @@ def _slabs(docs: DataFrame, text: str, key: str, slab_bytes: int) -> DataFrame:
     name = f"nearkin_slabs_{path.rpartition('-')[2]}"
     made = docs.mapInArrow(run, "slab long, docs binary")
     made.write.format("parquet").option("path", path).option("compression", "none").bucketBy(partitions(spark), "slab").saveAsTable(name)
+    drop_at_end(name)
     return spark.table(name)
 
 

@@ -6,8 +6,6 @@ two prefix sums; every word's hash is mixed before runs of words are hashed.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 from .shared import own
@@ -53,14 +51,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache
-def _zero() -> np.ndarray:
-    return np.zeros(1, U)
-
-
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
     """Prefix sums of values times the base's powers, from 0."""
-    return np.concatenate([_zero(), np.cumsum(values.astype(U) * powers(base, len(values))[0], dtype=U)])
+    terms = values.astype(U)
+    terms *= powers(base, len(values))[0]
+    out = np.zeros(len(values) + 1, U)
+    np.cumsum(terms, out=out[1:])
+    return out
 
 
 def runs(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
