@@ -49,3 +49,9 @@ def dist_matrix(queries: DataFrame, targets: DataFrame, mode: str, query: str =
     t = targets.select(ids[1].alias("target_id"), F.col(target).alias("target"))
     pairs = q.crossJoin(t).select("query_id", "target_id", "query", "target")
     return _spread(pairs, distance(F.col("query"), F.col("target"), mode, costs, unit), mode)
+
+
+def wide(matrix: DataFrame, targets: list[int] | None = None, value: str = "distance") -> DataFrame:
+    """A row for each query and a column for each target id, for small matrices; the target ids, if given, spare a pass."""
+    rows = matrix.groupBy("query_id", "query")
+    return (rows.pivot("target_id", targets) if targets else rows.pivot("target_id")).agg(F.first(value))

@@ -160,10 +160,8 @@ def batches(queries: list[str], targets: list[str], kind: str, costs: Costs, uni
     return out
 
 
-def distance(query: Column, target: Column, kind: str, costs: Costs, unit: str = "byte") -> Column:
-    """A column: the distance as an integer, or a struct of distance and sizes for 'anchored'; null for null texts."""
-    if kind == "global" and costs.algorithm == "unit":
-        return F.levenshtein(view(query, unit), view(target, unit))
+def kernel(kind: str, costs: Costs, unit: str = "byte") -> Callable[[Column, Column], Column]:
+    """A vectorised function of two columns: an integer, or a struct of distance and sizes for 'anchored'; null for null texts."""
 
     def found(q: pd.Series, t: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         real = (q.notna() & t.notna()).to_numpy()
@@ -184,5 +182,11 @@ def distance(query: Column, target: Column, kind: str, costs: Costs, unit: str =
                 out.loc[real, c] = pd.array(values[:, k], "Int32")
             yield out
 
-    kernel = F.pandas_udf(three, ANCHORED) if kind == "anchored" else F.pandas_udf(one, "int")
-    return kernel(query, target)
+    return F.pandas_udf(three, ANCHORED) if kind == "anchored" else F.pandas_udf(one, "int")
+
+
+def distance(query: Column, target: Column, kind: str, costs: Costs, unit: str = "byte") -> Column:
+    """The distance of two columns, as the kernel gives it; whole unit distances stay in the JVM."""
+    if kind == "global" and costs.algorithm == "unit":
+        return F.levenshtein(view(query, unit), view(target, unit))
+    return kernel(kind, costs, unit)(query, target)

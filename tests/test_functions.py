@@ -121,3 +121,17 @@ def test_distances(spark, rows):
     assert tuple(an[0]) == (0, 3, 3) and tuple(an[1]) == (0, 0, 0) and tuple(an[2]) == (None, None, None)
     q = spark.createDataFrame([("ACGT",), ("AAAA",), ("ACGT",)], "query string")
     assert dist_matrix(q, q.withColumnRenamed("query", "target"), "gb").count() == 9
+
+
+def test_wide_and_sql(spark, rows):
+    from nearkin.functions.distance import wide
+    from nearkin.functions.sql import register
+
+    q = spark.createDataFrame([(0, "ACGT"), (1, "AAAA")], "i long, query string")
+    t = spark.createDataFrame([(5, "ACG"), (6, "ACGT")], "j long, target string")
+    m = dist_matrix(q, t, "gb", query_id="i", target_id="j")
+    assert rows(wide(m, [5, 6]), "query_id", "5", "6") == [(0, 1, 0), (1, 3, 3)]
+    assert wide(m).columns == ["query_id", "query", "5", "6"]
+    register(spark)
+    r = spark.sql("select hamming_distance(a, b) h, anchored_distance(a, b).distance d, single_gap_distance(a, b) s, hamming_distance(a, 'x') n from values ('ACGT', 'AGGT') t(a, b)").first()
+    assert tuple(r) == (1, 1, 1, None)

@@ -159,3 +159,12 @@ def test_tables_and_stream(spark, rows, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(map(tuple, seen)) == [("ab", "ab", 0), ("ax", "ab", 1)]
+
+
+@pytest.mark.parametrize("mode, matrix, gaps, k", CASES)
+def test_limit_is_a_part(spark, rows, mode, matrix, gaps, k):
+    t = spark.createDataFrame([(x,) for x in texts(40, 6)], "target string")
+    q = t.withColumnRenamed("target", "query")
+    every = rows(search.similarity_join(q, t, k, mode=mode, cost_matrix=matrix, **gaps))
+    first = rows(search.similarity_join(q.distinct(), t, k, mode=mode, cost_matrix=matrix, limit=1, **gaps))
+    assert set(first) <= set(every) and len(first) == len({r[0] for r in every})
