@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .shared import partitions, stored
 
 
+#: Parts of a parent's children in a join.
+SALTS = 16
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, least node of its component) with the same components as the links given."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -40,16 +44,25 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root, the least node that links (a, b) reach, of every node that is not its own root."""
+    """node and root, the least node that links (a, b) reach, of every node that is not its own root.
+
+    Each task first makes a forest of its links, so a node has at most one parent from each task, and a round is
+    cheap. A root with very many children is never a join's one key: edges are salted by child where they look
+    up their parent's own parent.
+    """
     spark = links.sparkSession
+    n = partitions(spark)
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a != b")
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition(partitions(spark), "a").mapInArrow(_contract, "a long, b long"), "links")
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition(n, "a", "b")
+    edges = stored(edges.mapInArrow(_contract, "a long, b long"), "links")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     last = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = stored(large, "large-star")
+        # large-star: an edge to u becomes one to the least neighbour of u, if that is less than u
+        above = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m", salts)
+        salted = edges.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+        large = stored(salted.join(above, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "large-star")
+        # small-star: a node and its lesser neighbours become children of the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = stored(small.filter("a != b").distinct(), "small-star")

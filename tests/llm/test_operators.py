@@ -203,6 +203,17 @@ def test_spanning_links():
     assert dict(zip(node, root, strict=True)) == dict(zip(n2, r2, strict=True))
 
 
+def test_components(spark):
+    from nearkin.llm.components import components, forest
+
+    r = random.Random(11)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000, 2000 + k) for k in range(300)] + [(3000 + k, 3001 + k) for k in range(200)] + [(9000, 8000 + k) for k in range(100)] + [(-5, 3)]
+    a, b = (np.array([p[k] for p in pairs if p[0] != p[1]]) for k in (0, 1))
+    node, root = forest(a, b)
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == dict(zip(node.tolist(), root.tolist(), strict=True))
+
+
 def test_simhash_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (None, "zz"), (6, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
