@@ -43,7 +43,6 @@ def _keyed(spark: SparkSession, d: str, name: str, key: str, column: str) -> Dat
 #: A DNA-like text of nine letters for each customer.
 DNA = "translate(substring(c_name, 10), '0123456789', 'ACGTACGTAC')"
 #: An asymmetric cost table, as text and as SQL.
-CODES = {"A": 1, "C": 3, "G": 7, "T": 20}
 SUB = "CASE WHEN {q} = {t} THEN 0 ELSE 1 + ((ascii({q}) * 7 + ascii({t}) * 3) % 3) END"
 
 
