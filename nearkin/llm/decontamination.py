@@ -13,8 +13,6 @@ document id are judged each by itself. With an empty benchmark nothing is hit. O
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
