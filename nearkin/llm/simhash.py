@@ -222,16 +222,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, text: str = "text", key:
     return rows.join(named, "fp").select("row_id", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of docs that stands for each root of found (row_id, doc_id, root)."""
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_id")
+    best = found.groupBy("root").agg(F.min(place).alias("place")).select(F.col("place.row_id").alias("row_id"))
+    kept = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return kept.join(best, "row_id", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component: the one with the smallest id, or the first row where none has an id.
 
     docs must give the same rows in the same order each time it is read, as a stored table does.
     """
-    found = near_duplicates(docs, shingle, text, key)
-    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_id")
-    best = found.groupBy("root").agg(F.min(place).alias("place")).select(F.col("place.row_id").alias("row_id"))
-    kept = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return kept.join(best, "row_id", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return one_of_each(docs, near_duplicates(docs, shingle, text, key))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
