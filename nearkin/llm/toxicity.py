@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,19 +54,26 @@ def levels(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length())]
 
 
-def choose(present: Counter, with_label: Counter, n: int, n_label: int) -> list[str]:
-    """Terms by chi-square with the label, each as 'gram' and its least occurrences; of terms in the same documents, the longest."""
-    scored: dict[tuple[int, int, int], tuple[float, str, int]] = {}
+def choose(present: Counter, with_label: Counter, which: dict[tuple[str, int], int], n: int, n_label: int) -> list[str]:
+    """Terms by chi-square with the label, each as 'gram' and its least occurrences; of terms that are prefixes of one another in the same documents, the longest.
+
+    which: of each term, a hash of the set of its documents.
+    """
+    scored: dict[tuple[int, int], list[tuple[str, str, float]]] = {}
     for (gram, level), df in present.items():
         a = with_label[gram, level]
         if df < LEAST_DOCS or a * n <= df * n_label:
             continue
         chi2 = n * (a * (n - n_label - (df - a)) - (n_label - a) * (df - a)) ** 2 / max(1, df * (n - df) * n_label * (n - n_label))
         if chi2 >= LEAST_CHI2:
-            same = (df, a, level)
-            if same not in scored or len(gram) > len(scored[same][1]) and gram.rstrip("*").startswith(scored[same][1].rstrip("*")):
-                scored[same] = (chi2, gram, level)
-    best = sorted(scored.values(), key=lambda x: (-x[0], x[1], x[2]))[:TERMS]
+            scored.setdefault((which[gram, level], level), []).append((gram.rstrip("*"), gram, chi2))
+    kept = []
+    for (_, level), same in scored.items():
+        same.sort()  # a term is followed by those it is a prefix of
+        for k, (stem, gram, chi2) in enumerate(same):
+            if k + 1 == len(same) or not same[k + 1][0].startswith(stem):
+                kept.append((chi2, gram, level))
+    best = sorted(kept, key=lambda x: (-x[0], x[1], x[2]))[:TERMS]
     return [f"{gram}\t{level}" for _, gram, level in best]
 
 
@@ -191,10 +199,15 @@ class Scorer:
                 with_label.update(marked(text))
         with_label = Counter({g: n for g, n in with_label.items() if n > 1})
         present: Counter = Counter()
-        for _, text, _ in rows:
-            present.update(g for g in marked(text) if g in with_label)
+        which: dict[tuple[str, int], int] = {}
+        for k, (_, text, _) in enumerate(rows):
+            mark = xxhash.xxh64_intdigest(k.to_bytes(8, "little"))
+            for g in marked(text):
+                if g in with_label:
+                    present[g] += 1
+                    which[g] = which.get(g, 0) ^ mark
         n, n_label = len(rows), sum(r[2] for r in rows)
-        terms = choose(present, with_label, n, n_label)
+        terms = choose(present, with_label, which, n, n_label)
         idf = [ALWAYS] + [1 + np.log((1 + n) / (1 + present[g, int(level)])) for g, _, level in (t.partition("\t") for t in terms)]
         self.make = Vectors(terms, np.array(idf))
         vectors = [self.make.terms(text) for _, text, _ in rows]
