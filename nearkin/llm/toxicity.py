@@ -1,15 +1,15 @@
 """Toxicity scores: nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
 Terms are lower-cased words and their first letters, and marks that a term occurs 2, 4, 8, ... times. Of at most
-EXAMPLES labelled documents (least hashed ids first) the terms that go most with the label, by chi-square, make
-the vocabulary, with one term that every text has. Examples with equal vectors are one entry with counts. The
-index has the entries' weights by term, in blocks of similar entries, and of each term the greatest weight in
-each block. A query adds those up to bound every block, looks into the best blocks first, and ends when no other
+EXAMPLES labelled documents (least hashed ids first) all terms that go with the label, in LEAST_DOCS documents and
+by a chi-square of LEAST_CHI2 at least, make the vocabulary, with one term that every text has. Examples with
+equal vectors are one entry with counts. The index has the entries' weights by term, in blocks of similar entries
+(only of blocks that have the term), and of each term the greatest weight in each block. A query adds those up to bound every block, looks into the best blocks first, and ends when no other
 block can hold one of the NEAREST entries; all entries as near as the last one count. Their labels vote with
 weights that fall with distance; a logistic curve fitted on the examples, each without its own vote, makes the
 vote a probability. Evidence are ids of examples at the nearest entries.
 
-Index and vocabulary have fixed bounds and go to all executors. Null texts are empty; an empty text is scored by
+Index and vocabulary are bounded by the examples and go to all executors. Null texts are empty; an empty text is scored by
 the term that every text has.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .labelled import held_out, sample
 from .shared import own
 
-#: Labelled documents used at most; terms of the vocabulary; entries that vote; entries of a block.
-EXAMPLES, TERMS, NEAREST, BLOCK = 6000, 400, 12, 64
+#: Labelled documents used at most; entries that vote; entries of a block.
+EXAMPLES, NEAREST, BLOCK = 6000, 12, 64
 #: A term's lengths; its least documents and chi-square; the weight of the term that every text has.
 LENGTHS, LEAST_DOCS, LEAST_CHI2, ALWAYS = (4, 5, 6, 7), 4, 15.0, 1.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -73,7 +73,7 @@ def choose(present: Counter, with_label: Counter, which: dict[tuple[str, int], i
         for k, (stem, gram, chi2) in enumerate(same):
             if k + 1 == len(same) or not same[k + 1][0].startswith(stem):
                 kept.append((chi2, gram, level))
-    best = sorted(kept, key=lambda x: (-x[0], x[1], x[2]))[:TERMS]
+    best = sorted(kept, key=lambda x: (-x[0], x[1], x[2]))
     return [f"{gram}\t{level}" for _, gram, level in best]
 
 
@@ -120,27 +120,45 @@ class Index:
         self.n = np.array([len(by[v]) for v in self.names], float)
         self.hits = np.array([sum(labels[k] for k in by[v]) for v in self.names], float)
         self.ids = [[ids[k] for k in by[v][:3]] for v in self.names]
-        blocks = max(1, -(-len(self.names) // BLOCK))
-        self.by_term = np.zeros((n_terms, blocks * BLOCK))
-        for e, v in enumerate(self.names):
-            self.by_term[list(v), e] = make.weights(v)
-        self.most = self.by_term.reshape(n_terms, blocks, BLOCK).max(2)
+        self.blocks, self.n_terms = max(1, -(-len(self.names) // BLOCK)), n_terms
+        weights = [make.weights(v) for v in self.names]
+        at = np.array([t * self.blocks + e // BLOCK for e, v in enumerate(self.names) for t in v], np.int64)
+        entry = np.array([e % BLOCK for e, v in enumerate(self.names) for _ in v], np.int64)
+        # a tile has the weights of one term in one block; tiles lie by term, then block
+        found, tile = np.unique(at, return_inverse=True)
+        self.tiles = np.zeros((len(found), BLOCK))
+        self.tiles[tile, entry] = np.concatenate(weights) if weights else []
+        self.tile_block = found % self.blocks
+        self.firsts = np.searchsorted(found, np.arange(n_terms + 1) * self.blocks)
+        self.most = self.tiles.max(1, initial=0.0)
+
+    @property
+    def by_term(self) -> np.ndarray:
+        """All weights, by term and entry."""
+        out = np.zeros((self.n_terms, self.blocks, BLOCK))
+        out[np.repeat(np.arange(self.n_terms), np.diff(self.firsts)), self.tile_block] = self.tiles
+        return out.reshape(self.n_terms, -1)
 
     def nearest(self, terms: tuple[int, ...], weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines: the NEAREST best and all that tie with the last, exactly."""
-        bounds = weights @ self.most[list(terms)]
+        own_tiles = np.concatenate([np.arange(self.firsts[t], self.firsts[t + 1]) for t in terms])
+        blocks, times = self.tile_block[own_tiles], np.repeat(weights, [self.firsts[t + 1] - self.firsts[t] for t in terms])
+        bounds = np.bincount(blocks, times * self.most[own_tiles], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        rows = self.by_term[list(terms)]
+        by_block = np.argsort(blocks, kind="stable")
+        ends = np.searchsorted(blocks[by_block], np.arange(self.blocks + 1))
         found, cosines, least, at = [], [], -1.0, 0
         while at < len(order) and bounds[order[at]] >= least - 1e-12:
             some = order[at : at + 4]
             at += 4
             entries = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            entries = entries[entries < len(self.names)]
+            here = [by_block[ends[k] : ends[k + 1]] for k in some]
+            near = np.array([times[x] @ self.tiles[own_tiles[x]] for x in here]).ravel()
+            keep = entries < len(self.names)
             if without is not None:
-                entries = entries[entries != without]
-            found.append(entries)
-            cosines.append(weights @ rows[:, entries])
+                keep &= entries != without
+            found.append(entries[keep])
+            cosines.append(near[keep])
             c = np.concatenate(cosines)
             if len(c) >= NEAREST:
                 least = np.partition(c, len(c) - NEAREST)[len(c) - NEAREST]

@@ -18,3 +18,12 @@ def test_terms_with_equal_counts_stay():
 def test_prefix_in_more_documents_stays():
     rows = [(i, "awfully", 1) for i in range(5)] + [(10 + i, "awfulness", 1) for i in range(5)] + [(100 + i, "fine", 0) for i in range(60)]
     assert set(toxicity.Scorer(rows).make.by_gram) == {"awful*", "awfully*", "awfulness"}
+
+
+def test_all_terms_that_pass_are_kept():
+    words = ["".join(chr(97 + k // 26**p % 26) for p in range(3)) for k in range(900)]  # no stems
+    rows = [(i, " ".join(words), 1) for i in range(6)] + [(100 + i, f"fine {words[i]}", 0) for i in range(60)]
+    scorer = toxicity.Scorer(rows)
+    assert set(scorer.make.by_gram) == set(words)
+    assert scorer.index.tiles.size < scorer.index.by_term.size or scorer.index.blocks == 1
+    assert scorer.score(" ".join(words[500:]))[0] > scorer.score("fine")[0]
