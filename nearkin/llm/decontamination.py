@@ -31,14 +31,19 @@ def _exact(text: Column) -> Column:
     return _words(F.translate(text, UPPER, LOWER))
 
 
+def _loose(text: Column) -> Column:
+    """Loosely lower-cased words: equal where those in A-Z's lower case are. Capital sigma is lower-cased first, as Unicode looks at its neighbours across separators."""
+    return _words(F.lower(F.replace(text, F.lit("Σ"), F.lit("σ"))))
+
+
 def _block(words: str, at: str, size: int) -> str:
     """SQL of a hash of `size` words from the place `at`."""
     return f"xxhash64({', '.join(f'get({words}, {at} + {k})' for k in range(size))})"
 
 
 def _windows(items: DataFrame, text: str, key: str, window: int) -> DataFrame:
-    """item, m (words), window (its text), and its loosely lower-cased words: Unicode's lower case never parts words that are equal in A-Z's."""
-    words = items.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), _exact(F.col(text)).alias("words"), _words(F.lower(F.col(text))).alias("loose"))
+    """item, m (words), window (its text), and its loosely lower-cased words."""
+    words = items.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), _exact(F.col(text)).alias("words"), _loose(F.col(text)).alias("loose"))
     words = words.filter(F.size("words") > 0).withColumn("m", F.least(F.size("words"), F.lit(window)))
     starts = words.withColumn("p", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("m"))))
     return starts.select("item", "m", F.array_join(F.slice("words", F.col("p") + 1, F.col("m")), " ").alias("window"), F.slice("loose", F.col("p") + 1, F.col("m")).alias("loose"))
@@ -55,7 +60,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 8, text: str = "text",
     blocks = found.select("m", F.explode(per_length).alias("block")).distinct().collect() if small else []  # bounded by what was counted
     table = found.groupBy("m", "window").agg(F.collect_set("item").alias("items"))
 
-    scanned = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("key"), F.col(text).alias("text"), _words(F.lower(F.col(text))).alias("words"))
+    scanned = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("key"), F.col(text).alias("text"), _loose(F.col(text)).alias("words"))
     scanned = scanned.withColumn("n_words", F.size("words"))
     by_length: dict[int, list[int]] = {}
     for row in blocks:
