@@ -8,12 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 COSTS = "query_char string, target_char string, cost int"
+#: Names of a table's rows that are no characters (fixed values).
+GAPS = ("gap", "gap_open")
 
 
 class CostMatrix:
-    """A square table of non-negative integer costs, from nested mappings: costs[query_char][target_char]."""
+    """A square table of non-negative integer costs, from nested mappings: costs[query_char][target_char].
+
+    Rows and columns named gap or gap_open are skipped: gap costs are parameters of their own.
+    """
 
     def __init__(self, costs: Mapping[str, Mapping[str, int]]):
+        costs = {q: {t: c for t, c in row.items() if t not in GAPS} for q, row in costs.items() if q not in GAPS}
         chars = list(costs)
         if any(len(c) != 1 for c in chars):
             raise ValueError("names of a cost matrix are single characters")
@@ -46,7 +52,10 @@ class CostMatrix:
     def is_unit(self) -> bool:
         return all(c == (q != t) for q, row in self.costs.items() for t, c in row.items())
 
-    def covers(self, charset: Sequence[str]) -> None:
+    def covers(self, charset: Sequence[str], unit: str = "char") -> None:
+        """Raises ValueError unless all characters have costs; bytes of other than ASCII characters have none."""
+        if unit == "byte" and (wide := [c for c in {*self.chars, *charset} if not c.isascii()]):
+            raise ValueError(f'costs of {sorted(wide)} are costs of characters, not of bytes: unit="char" is needed')
         if missing := sorted(set(charset) - set(self.chars)):
             raise ValueError(f"the cost matrix has no costs for {missing}")
 

@@ -30,7 +30,7 @@ def dist_pairwise(pairs: DataFrame, mode: str, query: str = "query", target: str
     mode = params.normalize_mode(mode)
     costs = params.costs(mode, cost_matrix, gap_cost, gap_open_cost, zero_diagonal=False)
     if costs.matrix:
-        costs.matrix.covers(charset((pairs, query), (pairs, target)))
+        costs.matrix.covers(charset((pairs, query), (pairs, target)), unit)
     return _spread(pairs, distance(F.col(query), F.col(target), mode, costs, unit), mode)
 
 
@@ -43,7 +43,7 @@ def dist_matrix(queries: DataFrame, targets: DataFrame, mode: str, query: str =
     mode = params.normalize_mode(mode)
     costs = params.costs(mode, cost_matrix, gap_cost, gap_open_cost, zero_diagonal=False)
     if costs.matrix:
-        costs.matrix.covers(charset((queries, query), (targets, target)))
+        costs.matrix.covers(charset((queries, query), (targets, target)), unit)
     ids = [F.col(x) if x else F.monotonically_increasing_id() for x in (query_id, target_id)]
     q = queries.select(ids[0].alias("query_id"), F.col(query).alias("query"))
     t = targets.select(ids[1].alias("target_id"), F.col(target).alias("target"))

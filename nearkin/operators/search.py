@@ -29,7 +29,7 @@ def _found(pairs: DataFrame, mode: str, costs: params.Costs, unit: str) -> DataF
         q, t = view(F.col("query"), unit), view(F.col("target"), unit)
         near = pairs.withColumns({"q": q, "t": t}).withColumn("distance", F.expr("levenshtein(q, t, k)")).drop("q", "t")
         return near.filter("distance >= 0").select("query", "target", "distance")
-    found = pairs.withColumn("d", distance(F.col("query"), F.col("target"), mode, costs, unit))
+    found = pairs.withColumn("d", distance(F.col("query"), F.col("target"), mode, costs, unit, F.col("k")))
     if mode == "anchored":
         return found.filter("d.distance <= k").select("query", "target", "d.distance", "d.query_size", "d.target_size")
     return found.filter("d <= k").select("query", "target", F.col("d").alias("distance"))
@@ -61,13 +61,15 @@ def similarity_join(
     if strategy not in ("blocked", "nested"):
         raise ValueError(f"strategy must be 'blocked' or 'nested', not {strategy!r}")
     if costs.matrix:
-        costs.matrix.covers(charset((queries, query), (targets, target)))
+        costs.matrix.covers(charset((queries, query), (targets, target)), unit)
     k = params.threshold(F.col(query), max_distance, max_fraction)
     bag = queries.select(F.col(query).alias("query"), k.alias("k")).filter("query is not null and k >= 0")
     counted = bag.groupBy("query", "k").agg(F.count("*").alias("times"))
     asked = counted.select("query", "k").withColumn("e", _edits(F.col("k"), costs))
     stored = targets.select(F.col(target).alias("target")).filter("target is not null").distinct()
-    found = _found(candidates(asked, stored, mode, unit, strategy).select("query", "k", "target"), mode, costs, unit) if isinstance(max_distance, int | float) else _per_row(asked, stored, mode, costs, unit, strategy)
+    # a column may give a text several thresholds; numbers give each text one
+    one = isinstance(max_distance, int | float) or max_distance is None and isinstance(max_fraction, int | float)
+    found = _found(candidates(asked, stored, mode, unit, strategy), mode, costs, unit) if one else _per_row(asked, stored, mode, costs, unit, strategy)
     if limit is not None:
         found = nearest(found, limit)
     return _with_multiplicity(found, counted)

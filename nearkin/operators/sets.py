@@ -122,6 +122,14 @@ class LengthSet(SequenceSet):
         """len and count."""
         return self.df.groupBy(size(F.col("sequence"), self.unit).alias("len")).agg(F.count("*").alias("count"))
 
+    def validate(self) -> bool:
+        """Whether each length's tree is valid."""
+        return tree.is_valid(self.df, unit=self.unit, by_length=True)
+
+    def graph(self, depth: int = -1, root_label: str = "") -> DataFrame:
+        """The edges of all trees, one for each length."""
+        return tree.edges(self.df, depth=depth, root_label=root_label, unit=self.unit, by_length=True).select("parent", "child")
+
     def to_strings(self) -> dict[int, str]:
         """Each length's tree as text."""
         n = size(F.col("sequence"), self.unit)

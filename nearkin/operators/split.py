@@ -32,8 +32,7 @@ def split_search(queries: DataFrame, targets: DataFrame, query_split: int | str
         near = similarity_join(q.select(F.col(side).alias("query")).distinct(), t.select(F.col(side).alias("target")).distinct(), max_distance, None, "anchored", cost_matrix, gap_cost, gap_open_cost, unit=unit)
         found[side] = near.select(F.col("query").alias(f"q_{side}"), F.col("target").alias(f"t_{side}"), F.col("distance").alias(f"d_{side}"))
     q, t = (x.withColumnsRenamed({"text": name, "left": f"{name[0]}_left", "right": f"{name[0]}_right"}) for x, name in ((q, "query"), (t, "target")))
-    q = q.join(found["right"].select("q_right").distinct(), "q_right", "left_semi")
-    t = t.join(found["right"].select("t_right").distinct(), "t_right", "left_semi")
-    pairs = q.join(found["left"], "q_left").join(t, "t_left").join(found["right"], ["q_right", "t_right"])
+    # first the right sides, which are the longer ones where texts are cut near their start and so leave fewer pairs
+    pairs = found["right"].join(q, "q_right").join(t, "t_right").join(found["left"], ["q_left", "t_left"])
     total = pairs.withColumn("distance", F.col("d_left") + F.col("d_right"))
     return total.filter(F.col("distance") <= max_distance).select("query", "target", "distance")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +59,28 @@ def test_kernels(pairs, costs):
     assert batches(q, t, "single_gap", Costs("unit", None, 2), "byte").tolist() == [single_gap(a, b, 2) for a, b in pairs]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(dna, dna, st.integers(0, 7)), min_size=1, max_size=30), st.sampled_from(ALL))
+def test_banded_kernels(rows, costs):
+    """Within a threshold the banded kernels give what the full ones give."""
+    q, t, k = map(list, zip(*rows, strict=True))
+    full, near = (batches(q, t, "global", costs, "byte", *x).tolist() for x in ([], [np.array(k)]))
+    assert [a if a <= n else None for a, n in zip(full, k, strict=True)] == [b if b <= n else None for b, n in zip(near, k, strict=True)]
+    full, near = (batches(q, t, "anchored", costs, "byte", *x).tolist() for x in ([], [np.array(k)]))
+    assert [a if a[0] <= n else None for a, n in zip(full, k, strict=True)] == [b if b[0] <= n else None for b, n in zip(near, k, strict=True)]
+
+
+def test_gap_names_and_wide_characters():
+    m = CostMatrix({"A": {"A": 0, "C": 2, "gap": 4}, "C": {"A": 2, "C": 0, "gap": 4}, "gap": {"A": 4, "C": 4, "gap": 0}})
+    assert m.chars == ["A", "C"] and m.off_diagonal() == [2, 2]
+    wide = generate_cost_matrix("àè", mismatch=5)
+    wide.covers("à", "char")
+    with pytest.raises(ValueError, match="char"):
+        wide.covers("", "byte")
+    with pytest.raises(ValueError):
+        batches(["aà"], ["aè"], "global", Costs("linear", generate_cost_matrix("aà"), 1), "char")
+
+
 def test_golden():
     one = lambda q, t, kind, c: batches([q], [t], kind, c, "byte")[0].tolist()
     far = generate_cost_matrix("ACGT", match=0, mismatch=5)

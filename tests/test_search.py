@@ -100,8 +100,8 @@ def test_dist_search_checks(spark):
 
 
 def test_prefixes(spark, rows):
-    words = SequenceSet(spark, ["cargo", "cart", "carburetor", "carbuncle", "bar", "é", "éa"])
-    assert [r[1] for r in rows(words.prefix_search(["car"]))] == ["carbuncle", "carburetor", "cargo", "cart"]
+    words = SequenceSet(spark, ["plane", "plan", "planet", "play", "oak", "é", "éa"])
+    assert [r[1] for r in rows(words.prefix_search(["pla"]))] == ["plan", "plane", "planet", "play"]
     assert len(rows(words.prefix_search(["", ""]))) == 14
     assert [r[1] for r in rows(words.prefix_search(["é"]))] == ["é", "éa"]
     assert rows(words.prefix_search([])) == []
@@ -127,23 +127,43 @@ def test_sets(spark, rows, kind):
 
 
 def test_tree(spark, rows):
-    words = SequenceSet(spark, ["cargo", "cart", "carburetor", "carbuncle", "bar"])
-    assert rows(words.graph()) == sorted([("", "bar"), ("", "car"), ("car", "bu"), ("car", "go"), ("car", "t"), ("bu", "ncle"), ("bu", "retor")], key=repr)
-    assert rows(words.graph(depth=1, root_label="root")) == [("root", "bar"), ("root", "car")]
-    lines = words.to_string().split("\n")
-    assert lines[0] == "(root)" and [x.split(":")[0] for x in lines[1:4]] == [" bar", " car", "  bu"] and lines[-1] == ""
-    assert SequenceSet(spark).to_string() == "(root)\n"
-    by_length = LengthSet(spark, ["a", "b", "ab", ""])
-    assert list(by_length.to_strings()) == [0, 1, 2]
-    assert rows(by_length.search(["a"], 1)) == sorted([("a", "a", 0), ("a", "b", 1), ("a", "ab", 1), ("a", "", 1)], key=repr)
+    words = SequenceSet(spark, ["plane", "planet", "play", "oak"])
+    assert rows(words.graph()) == sorted([("", "oak"), ("", "pla"), ("pla", "ne"), ("pla", "y"), ("ne", "t")], key=repr)
+    assert rows(words.graph(depth=1, root_label="root")) == [("root", "oak"), ("root", "pla")]
+    assert words.to_string() == "(root)\n oak:1\n pla\n  ne:1\n   t:1\n  y:1\n\n"
+    assert SequenceSet(spark).to_string() == "(root)\n\n" and SequenceSet(spark, [""]).to_string() == "(root):1\n\n"
+    assert words.validate() and rows(SequenceSet(spark).graph()) == []
+
+
+def test_a_tree_for_each_length(spark, rows):
+    by_length = LengthSet(spark, ["a", "b", "ab", "", "ac", "xyz"])
+    assert by_length.to_strings() == {0: "(root):1\n\n", 1: "(root)\n a:1\n b:1\n\n", 2: "(root)\n a\n  b:1\n  c:1\n\n", 3: "(root)\n xyz:1\n\n"}
+    assert rows(by_length.graph()) == sorted([("", "a"), ("", "b"), ("", "a"), ("a", "b"), ("a", "c"), ("", "xyz")], key=repr)
+    assert rows(by_length.graph(1, "root")) == sorted([("root", "a"), ("root", "b"), ("root", "a"), ("root", "xyz")], key=repr)
+    assert by_length.validate()
+    assert rows(by_length.search(["a"], 1)) == sorted([("a", "a", 0), ("a", "b", 1), ("a", "ab", 1), ("a", "ac", 1), ("a", "", 1)], key=repr)
 
 
 def test_split(spark, rows):
-    q = spark.createDataFrame([("AGACCTAACCC", 3), ("GGGTGTAACCACCC", 6)], "query string, at int")
-    t = spark.createDataFrame([("AAGACCTAACC", 4), ("GGTGTAACCAC", 5)], "target string, at int")
-    assert rows(split.split_search(q, t, "at", "at")) == sorted([("AGACCTAACCC", "AAGACCTAACC", 0), ("GGGTGTAACCACCC", "GGTGTAACCAC", 0)], key=repr)
+    """Reversed left sides and right sides are each anchored at the cut."""
+    q = spark.createDataFrame([("TTGACCATG", 4), ("CCAGTGGATC", 5)], "query string, at int")
+    t = spark.createDataFrame([("ATTGACCAT", 5), ("CAGTGGATCAA", 4)], "target string, at int")
+    assert rows(split.split_search(q, t, "at", "at")) == sorted([("TTGACCATG", "ATTGACCAT", 0), ("CCAGTGGATC", "CAGTGGATCAA", 0)], key=repr)
     one = q.limit(1).select("query")
-    assert rows(split.split_search(one, one.withColumnRenamed("query", "target"), -1, -1, edge_trim=2)) == [("AGACCTAACCC", "AGACCTAACCC", 0)]
+    assert rows(split.split_search(one, one.withColumnRenamed("query", "target"), -1, -1, edge_trim=2)) == [("TTGACCATG", "TTGACCATG", 0)]
+
+
+ACCENTS = CostMatrix({q: {t: 0 if q == t else 5 if {q, t} == {"à", "è"} else 2 for t in "aàè"} for q in "aàè"})
+
+
+def test_costs_of_wide_characters(spark, rows):
+    q = spark.createDataFrame([("aaaà",)], "query string")
+    t = spark.createDataFrame([("aaaè",), ("aaaa",)], "target string")
+    for mode in ("global", "anchored"):
+        with pytest.raises(ValueError, match="char"):
+            search.similarity_join(q, t, 3, mode=mode, cost_matrix=ACCENTS, gap_cost=9)
+        assert [r[1:3] for r in rows(search.similarity_join(q, t, 5, mode=mode, cost_matrix=ACCENTS, gap_cost=9, unit="char"))] == [("aaaa", 2), ("aaaè", 5)]
+        assert [r[1:3] for r in rows(search.similarity_join(q, t, 3, mode=mode, cost_matrix=ACCENTS, gap_cost=9, unit="char"))] == [("aaaa", 2)]
 
 
 def test_tables_and_stream(spark, rows, tmp_path):
