@@ -124,7 +124,7 @@ def decontamination_words(text):
 
 @pytest.mark.parametrize("most", [20_000, 3])
 def test_decontamination(spark, rows_, monkeypatch, most):
-    monkeypatch.setattr(decontamination, "MOST_WINDOWS", most)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
     texts = [t for _, t in rows_ if t]
     items = [(i, " ".join(t.split()[3 : 3 + n]).upper()) for i, (t, n) in enumerate(zip(texts[:12], [9, 8, 20, 5, 3, 1, 12, 8, 2, 30, 10, 7], strict=True))]
     items += [(50, None), (51, ""), (52, "É é! İx ẞ straße ΑΣ ς"), (None, texts[0]), (3, texts[20])]
