@@ -10,16 +10,18 @@ joins below bring answers to the slabs and never move text.
    whether all its occurrences have the same word before and the same word after.
 3. Edges that several documents have are compacted: an edge and the next become one path unless the node
    between them branches. All occurrences of a path lie in the same documents. A path is known by its length
-   and two independent 64-bit hashes of all its words, taken at its own coordinates, so that a hash that two
-   edges happen to share splits paths and joins none.
-4. Spark joins the slabs' distinct paths with the least document id of each path, its source; occurrences in
-   later documents are removed.
+   and a 128-bit BLAKE2 digest of its words, so a hash that two edges happen to share splits paths and joins none.
+4. Spark joins the slabs' distinct paths with the source of each: the least document id that has it, and the slab
+   and place of an occurrence there. The source's slab sends the words at that place, once to every slab that asks,
+   and an occurrence in a later document is removed only if its words are the same.
 
 Distinct edges and paths are summed within a slab before they are shuffled, so a passage that a third of all
-documents share costs a row for each slab. Slabs grow with the number of shuffle partitions.
+documents share costs a row for each slab. A bucket of questions has a bounded share of the text, and slabs grow with the
+number of buckets. A document is never cut, so a very long one is a slab of its own.
 
-Null texts have no words; rows without a document id lose nothing and are no source; rows that share a
-document id are the same document to each other. Columns other than text and the id pass through unchanged.
+Null and empty texts have no words; rows without a document id lose nothing and are no source; rows that share a
+document id, repeated rows among them, are the same document to each other. An empty table gives no rows. Columns
+other than text and the id pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 from .shared import drop_at_end, fresh_path, partitions, steps, stored, utf8
 from .words import BASES, Words, own_words, prefix, runs
 
-#: Bytes of text in a slab, at least, and for each bucket of a question.
-SLAB_BYTES, BUCKET_BYTES = 1 << 20, 4096
+#: Bytes of text in a slab, at least, and for each bucket of a question; and of all texts for each bucket, at most.
+SLAB_BYTES, BUCKET_BYTES, BUCKET_TEXT = 1 << 20, 4096, 32 << 20
 #: Of an edge's occurrences: in several documents; several words before; several words after.
 SHARED, FORKED_IN, FORKED_OUT = 1, 2, 4
-EDGE = np.dtype([("hash", "<u8"), ("before", "<u4"), ("after", "<u4"), ("flags", "u1")])
+EDGE = np.dtype([("hash", "<u8"), ("before", "<u8"), ("after", "<u8"), ("flags", "u1")])
 
 
 def _slabs(docs: DataFrame, text: str, key: str, slab_bytes: int) -> DataFrame:
@@ -221,8 +223,8 @@ class _Questions:
         shared = _told(order, names, answers) > 0
         at = self.at[shared[self.group]] if len(self.at) else self.at
         s, k = self.s, self.s.k
-        before, after = np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32)
-        check = (s.word >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        before, after = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        check = s.word | np.uint64(1)
         inner = (at > 0) & (s.doc[np.maximum(at - 1, 0)] == s.doc[at]) if len(at) else np.zeros(0, bool)
         before[inner] = check[at[inner] - 1]
         last = np.minimum(at + k, len(s.doc) - 1)
@@ -252,12 +254,12 @@ class _Questions:
         return at[firsts], np.diff(np.append(firsts, len(at)))
 
 
-PATHS = "slab long, places binary, paths array<struct<n:int,hash:long,check:long,least:long,most:long>>"
+PATHS = "slab long, places binary, paths array<struct<n:int,hash:long,check:long,least:long,most:long,at:int>>"
+TOLD = "slab long, at int, n int, words binary"
 
 
-def _paths(slabs: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """Of each slab, the places of its paths and its distinct paths with the least and greatest document ids that have them."""
-    buckets = 2 * partitions(slabs.sparkSession)
+def _paths(slabs: DataFrame, text: str, key: str, k: int, buckets: int) -> DataFrame:
+    """Of each slab, the places of its paths, and its distinct paths with the least and greatest document ids that have them and a place in the least."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, _Questions, list]]:
         own_words()
@@ -277,16 +279,16 @@ def _paths(slabs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     def compact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab, q, (first, second) in each(batches):
             at, n = q.paths(first, second)
-            s, end = q.s, at + n + k - 1
-            hashes = runs(s.sums, at, end, BASES[0])
-            check = runs(prefix(s.words.hashes(BASES[1]), BASES[1]), at, end, BASES[1])
+            s = q.s
+            digests = b"".join(hashlib.blake2b(s.words.run(a, b), digest_size=16).digest() for a, b in zip(at.tolist(), (at + n + k - 1).tolist(), strict=True))
+            hashes, check = np.frombuffer(digests, "<u8").reshape(-1, 2).T
             distinct = np.array([n.astype(np.uint64), hashes, check]).T.copy().view("V24").ravel()
             order, firsts, group = _groups_of(distinct)
             own = np.asarray(s.ids.fill_null(0))[s.doc[at]] if len(at) else np.zeros(0, np.int64)
-            least = _several(order, firsts, own)[0]
             most = -_several(order, firsts, -own)[0]
-            one = order[firsts]
-            struct = pa.StructArray.from_arrays([pa.array(x, t) for x, t in ((n[one], pa.int32()), (hashes[one].view(np.int64), pa.int64()), (check[one].view(np.int64), pa.int64()), (least, pa.int64()), (most, pa.int64()))], ["n", "hash", "check", "least", "most"])
+            one = np.lexsort((at, own, group))[firsts] if len(at) else order  # of each path, the first place in its least document
+            columns = ((n[one], pa.int32()), (hashes[one].view(np.int64), pa.int64()), (check[one].view(np.int64), pa.int64()), (own[one], pa.int64()), (most, pa.int64()), (at[one], pa.int32()))
+            struct = pa.StructArray.from_arrays([pa.array(x, t) for x, t in columns], ["n", "hash", "check", "least", "most", "at"])
             places = np.array([at, n, group], "<i4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.array([places], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)], ["slab", "places", "paths"])
 
@@ -303,16 +305,37 @@ def _groups_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.searchsorted(group[order], np.arange(len(firsts))), group
 
 
+def _sources(slabs: DataFrame, asked: DataFrame, text: str, key: str, k: int) -> DataFrame:
+    """The words of the spans that are asked for (slab, at, n): each span once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                slab, docs, spans = (c[i] for c in batch.columns)
+                s = _Slab(docs.as_buffer(), text, key, k)
+                at, n = (np.array([x[c] for x in spans.as_py()], np.int64) for c in ("at", "n"))
+                words = [s.words.run(a, b) for a, b in zip(at.tolist(), (at + n + k - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([slab.as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(words, pa.binary())], ["slab", "at", "n", "words"])
+
+    spans = asked.distinct().groupBy("slab").agg(F.collect_list(F.struct("at", "n")).alias("spans"))  # of a slab's own paths
+    return slabs.join(spans, "slab").select("slab", "docs", "spans").mapInArrow(run, TOLD)
+
+
 def _removed(docs: DataFrame, window: int, text: str, key: str) -> DataFrame:
-    """Slabs with the places of their paths and, of each path with an earlier document, that document's id."""
+    """Slabs with the places of their paths and, of each path with an earlier document, that document's id and its words there."""
     spark = docs.sparkSession
-    slabs = _slabs(docs, text, key, max(SLAB_BYTES, BUCKET_BYTES * partitions(spark)))
-    paths = _paths(slabs, text, key, window)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(2 * partitions(spark), size // BUCKET_TEXT)
+    slabs = _slabs(docs, text, key, max(SLAB_BYTES, BUCKET_BYTES * buckets // 2))
+    paths = _paths(slabs, text, key, window, buckets)
     each = paths.select("slab", F.posexplode("paths").alias("path", "p")).select("slab", "path", "p.*")
-    source = each.groupBy("n", "hash", "check").agg(F.min("least").alias("source"))
-    earlier = each.join(source, ["n", "hash", "check"]).filter(F.col("source") < F.col("most"))
-    told = earlier.groupBy("slab").agg(F.collect_list(F.struct("path", "source")).alias("sources"))
-    return slabs.join(paths.select("slab", "places"), "slab").join(told, "slab", "left")
+    source = each.groupBy("n", "hash", "check").agg(F.min(F.struct("least", "slab", "at")).alias("source"))
+    earlier = each.select("slab", "path", "n", "hash", "check", "most").join(source, ["n", "hash", "check"]).filter(F.col("source.least") < F.col("most"))
+    earlier = stored(earlier.select("slab", "path", "n", F.col("source.least").alias("source"), F.col("source.slab").alias("from"), F.col("source.at").alias("at")), "earlier")
+    words = _sources(slabs, earlier.select(F.col("from").alias("slab"), "at", "n"), text, key, window).withColumnRenamed("slab", "from")
+    told = earlier.join(words, ["from", "at", "n"]).groupBy("slab").agg(F.collect_list(F.struct("path", "source", "words")).alias("sources"))
+    return slabs.join(paths.select("slab", "places"), "slab").join(told, "slab", "left").select("slab", "docs", "places", "sources")
 
 
 def _words_gone(row: dict, s: _Slab) -> np.ndarray:
@@ -322,7 +345,10 @@ def _words_gone(row: dict, s: _Slab) -> np.ndarray:
     if row["sources"]:
         sources = np.full(int(path.max()) + 1, np.iinfo(np.int64).max)
         sources[[x["path"] for x in row["sources"]]] = [x["source"] for x in row["sources"]]
-        gone = sources[path] < np.asarray(s.ids.fill_null(0))[s.doc[at]]
+        words = {x["path"]: x["words"] for x in row["sources"]}
+        later = np.flatnonzero(sources[path] < np.asarray(s.ids.fill_null(0))[s.doc[at]])
+        same = [s.words.run(a, b) == words[p] for a, b, p in zip(at[later].tolist(), (at + n + s.k - 1)[later].tolist(), path[later].tolist(), strict=True)]
+        gone = later[np.array(same, bool)]
         np.add.at(edge, at[gone], 1)
         np.add.at(edge, at[gone] + n[gone] + s.k - 1, -1)
     return np.cumsum(edge)[:-1] > 0

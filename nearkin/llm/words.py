@@ -1,12 +1,14 @@
 """Words of many documents at once, and rolling hashes of them, in numpy.
 
-Hashes are polynomials modulo 2**64 in an odd base, so that of any run of bytes or words is a difference of
-two prefix sums; every word's hash is mixed before runs of words are hashed.
+A word's hash is mixed from its bytes, eight at a time; a long word's is XXH64. Hashes of runs of words are
+polynomials of the words' hashes modulo 2**64 in an odd base, so that of any run is a difference of two prefix
+sums. Such polynomials collide on some long runs of two words, so what depends on them is compared by words.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .shared import own
 
@@ -14,6 +16,9 @@ U = np.uint64
 #: Odd bases and multipliers; any odd numbers do.
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
 LENGTH = U(0xC2B2AE3D27D4EB4F)
+#: Words of more than eight times so many bytes are hashed by XXH64; which bytes of eight a word of so many has.
+CHUNKS = 8
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 #: ASCII white space: 0x09 to 0x0D and 0x20.
 WORD = np.ones(256, bool)
@@ -90,5 +95,23 @@ class Words:
         """Each word's document."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, base: int = BASES[0]) -> np.ndarray:
-        return runs(prefix(self.data, base), self.starts, self.ends, base)
+    def hashes(self) -> np.ndarray:
+        """A hash of each word's bytes and length."""
+        size = self.ends - self.starts
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        h = mix(eight[self.starts] & MASKS[np.minimum(size, 8)] ^ size.astype(U) * LENGTH)
+        at = np.flatnonzero(size > 8)
+        for chunk in range(1, CHUNKS):
+            if not len(at):
+                break
+            left = size[at] - 8 * chunk
+            h[at] = mix(h[at] ^ eight[self.starts[at] + 8 * chunk] & MASKS[np.minimum(left, 8)])
+            at = at[left > 8]
+        for k in at.tolist():
+            h[k] = xxhash.xxh64_intdigest(self.data[self.starts[k] : self.ends[k]])
+        return h
+
+    def run(self, a: int, b: int) -> bytes:
+        """The words from a to b, joined by one space."""
+        return b" ".join(self.data[self.starts[a] : self.ends[b - 1]].tobytes().split())
