@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 #: Names of the HTML standard, and words of class and id names, as they are commonly used (fixed values).
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -15,20 +17,52 @@ BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|ban
 #: Elements whose end tag may be left out: an open one ends where another of these starts.
 ENDED_BY = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 MAIN, PLAIN, BOILER = 2, 1, 0
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it is an end tag, name, attributes) of each tag; comments and declarations have no name.
+
+    What reads a tag takes each character a bounded number of times: after a tag whose quotes never close, quotes
+    are read as other characters, and where no > follows, all that is left is text. send() moves on.
+    """
+    at, quotes = 0, True
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = (yield start, len(page) if end < 0 else end + 3, False, "", "") or (len(page) if end < 0 else end + 3)
+            continue
+        m = NAME.match(page, start)
+        if not m and page[start + 1 : start + 2] not in ("!", "?"):
+            continue
+        end = page.find(">", start) + 1
+        if not end:
+            return
+        if not m:
+            at = (yield start, end, False, "", "") or end
+            continue
+        if quotes and m.end() < end:
+            whole = REST.match(page, m.end())
+            quotes = bool(whole)
+            end = whole.end() if whole else end
+        end = max(end, m.end())
+        at = (yield start, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]) or end
+
+
 def lines(page: str | None) -> list[tuple[str, int]]:
     """(text, kind) of each block with text, in page order: MAIN in an article or main element, BOILER in menus, notices and the like, else PLAIN."""
     page = page or ""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     open_: list[tuple[str, int]] = []
-    kind, at, inner = PLAIN, 0, 0
+    times: Counter = Counter()  # of names in open_
+    kind, at = PLAIN, 0
 
     def close() -> None:
         text = SPACE.sub(" ", html.unescape("".join(held))).strip()
@@ -36,40 +70,44 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             out.append((text, kind))
         held.clear()
 
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:  # an end tag
+    found = tags(page)
+    tag = next(found, None)
+    while tag:
+        start, end, closing, name, rest = tag
+        held.append(page[at:start])
+        at = end
+        if name in RAW and not closing:
+            last = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = last.end() if last else len(page)
+        elif closing:
             if name in BLOCKS:
                 close()
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    kind = open_[k][1]
-                    del open_[k:]
-                    break
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if name in BLOCKS:
-            close()
-        while open_ and name in ENDED_BY.get(open_[-1][0], ()):
-            kind = open_.pop()[1]
-        if name in VOID:
-            continue
-        open_.append((name, kind))
-        if kind != BOILER:
-            marks = " ".join(x or y or z for x, y, z in NAMED.findall(m[3])) if m[3] else ""
-            if name in HIDDEN or name == "header" and kind != MAIN or "hidden" in m[3].lower().split() or marks and name not in WHOLE | {"body", "html"} and BOILERPLATE.search(marks):
+            if times[name]:
+                while True:
+                    own, kind = open_.pop()
+                    times[own] -= 1
+                    if own == name:
+                        break
+        elif name:
+            if name in BLOCKS:
                 close()
-                kind = BOILER
-            elif name in WHOLE:
-                kind = MAIN
+            while open_ and name in ENDED_BY.get(open_[-1][0], ()):
+                own, kind = open_.pop()
+                times[own] -= 1
+            if name not in VOID:
+                open_.append((name, kind))
+                times[name] += 1
+                if kind != BOILER:
+                    marks = " ".join(x or y or z for x, y, z in NAMED.findall(rest)) if rest else ""
+                    if name in HIDDEN or name == "header" and kind != MAIN or "hidden" in rest.lower().split() or marks and name not in WHOLE | {"body", "html"} and BOILERPLATE.search(marks):
+                        close()
+                        kind = BOILER
+                    elif name in WHOLE:
+                        kind = MAIN
+        try:
+            tag = found.send(at)
+        except StopIteration:
+            tag = None
     held.append(page[at:])
     close()
     return out

@@ -78,7 +78,7 @@ def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercep
 
 def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, threshold: float = 0.3, most: int = EXAMPLES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
-    rows = sample(docs, labels, "quality", modulus, remainder, most, text, key).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # bounded by `most`
+    rows = sample(docs, labels, "quality", modulus, remainder, most, text, key).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()  # bounded by `most`
     weights, intercept = fit([r["text"] for r in rows], [r["label"] for r in rows])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

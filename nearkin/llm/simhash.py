@@ -13,7 +13,7 @@ reached, so pairs are not listed. Where a key has more than MOST fingerprints, t
 point within two bits of both (2,081 points each, and at most 2,081 fingerprints at a point), which loses no
 link either and grows in proportion. Components follow by Spark joins.
 
-Null texts have no words. Rows without an id get their component's id but lend none; repeated rows are
+Null and empty texts have no words; a very long text is hashed as one row. Rows without an id get their component's id but lend none; repeated rows are
 separate rows of one component. Empty tables give no rows; other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import own, partitions, stored
+from .shared import numbered, own, partitions, stored
 
 #: Differing bits of a link; bits of the segments; fingerprints of a key that one search takes.
 BITS, SEGMENTS, MOST = 4, (22, 21, 21), 4096
@@ -63,8 +63,8 @@ def fingerprint(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """row_id, doc_id and fp of each row."""
+def fingerprints(rows: DataFrame, shingle: int = 4) -> DataFrame:
+    """row_id, doc_id and fp of rows (row_id, doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("simhash")
@@ -72,7 +72,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str
             fps = [fingerprint(shingle_hashes(x.as_py(), shingle)) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["row_id", "doc_id", "fp"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "row_id long, doc_id long, fp long")
 
 
@@ -213,7 +212,11 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id", most: int = MOST) -> DataFrame:
     """row_id, doc_id, fingerprint, component_id and root (the component's fingerprint that stands for it) of each row."""
-    rows = stored(fingerprints(docs, shingle, text, key), "fingerprints")
+    return _near(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle, most)
+
+
+def _near(texts: DataFrame, shingle: int, most: int) -> DataFrame:
+    rows = stored(fingerprints(texts, shingle), "fingerprints")
     groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     reached = components(links(groups, most))
     member = groups.join(reached, groups["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -222,20 +225,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, text: str = "text", key:
     return rows.join(named, "fp").select("row_id", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The row of docs that stands for each root of found (row_id, doc_id, root)."""
+def one_of_each(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of rows (row_id, doc) that stand for each root of found (row_id, doc_id, root)."""
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_id")
     best = found.groupBy("root").agg(F.min(place).alias("place")).select(F.col("place.row_id").alias("row_id"))
-    kept = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return kept.join(best, "row_id", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return rows.join(best, "row_id", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in rows.schema["doc"].dataType.names])
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each component: the one with the smallest id, or the first row where none has an id.
-
-    docs must give the same rows in the same order each time it is read, as a stored table does.
-    """
-    return one_of_each(docs, near_duplicates(docs, shingle, text, key))
+    """One row of each component: the one with the smallest id, or the first row where none has an id."""
+    rows = numbered(docs, "simhash")
+    named = rows.select("row_id", F.col("doc").getField(key).cast("long").alias("doc_id"), F.col("doc").getField(text).alias("text"))
+    return one_of_each(rows, _near(named, shingle, MOST))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

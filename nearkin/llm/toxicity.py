@@ -256,7 +256,7 @@ class Scorer:
 
 def _scored(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, threshold: float, most: int, text: str, key: str) -> DataFrame:
     """docs' columns, named by their places, then held_out, score, predicted and evidence."""
-    rows = sample(docs, labels, "toxic", modulus, remainder, most, text, key).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # bounded by `most`
+    rows = sample(docs, labels, "toxic", modulus, remainder, most, text, key).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()  # bounded by `most`
     fitted = Scorer([(r["doc_id"], r["text"], r["label"]) for r in rows])
     place, key_place = docs.columns.index(text), docs.columns.index(key)
     docs = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])

@@ -229,8 +229,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="ad">Buy</div><article><header><h1>A &amp; B</h1></header><p>One<br>two <b>thr</b>ee&nbsp;x<p>Shared line</p><section class="comments"><p>First!</p></section></article><footer>&copy; us</footer>"""
 
 
-def test_markup_and_differencing(spark, monkeypatch):
-    monkeypatch.setattr(differencing, "partitions", lambda _: 1)  # all pages are neighbours in one task
+def test_markup_and_differencing(spark):
     assert differencing.main_text(markup.lines(PAGE), None)[0] == "A & B One two three x Shared line"
     assert markup.lines(None) == [] and markup.lines("plain &lt;text") == [("plain <text", markup.PLAIN)]
     a, b = (f"<body><div>Menu of the host</div><div>Own text of page {k}</div><div>End of the page</div></body>" for k in "ab")
