@@ -178,7 +178,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held: list[tuple] = []  # pages of the URL that is read
-        now = head = before = None  # that URL, its first page's lines, and (URL, lines) of the one before it
+        now = head = before = None  # that URL, its first page and the lines of it, and (URL, lines) of the one before it
 
         def judge(after: tuple | None) -> None:
             sides = [x for x in (before, after) if x and x[0][0] == now[0] != ""]
@@ -186,7 +186,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             seen: dict[str | None, tuple[str, int]] = {}
             for page_id, link, body in held:
                 if body not in seen:
-                    seen[body] = main_text(lines(body), near)
+                    seen[body] = main_text(head[1] if body == head[0] else lines(body), near)
                 text, gone = seen[body]
                 out.append((page_id, link, text, len(text), gone))
             held.clear()
@@ -203,8 +203,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                     own_lines = lines(body)
                     if now is not None:
                         judge((place, own_lines))
-                        before = (now, head)
-                    now, head = place, own_lines
+                        before = (now, head[1])
+                    now, head = place, (body, own_lines)
                 if own:
                     held.append((page_id, link, body))
                 if now[0] == "":
