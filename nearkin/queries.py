@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.costs import CostMatrix, generate_cost_matrix
+from .functions.distance import charset as chars
 from .functions.distance import dist_matrix, dist_pairwise
 from .operators import search, sets, split, tree
 
@@ -156,6 +157,31 @@ def tree_edges_depth(spark, d):
     return _parts(spark, d).graph(depth=1)
 
 
+@query(f"{_NODES} SELECT path, repeat(' ', depth) || CASE WHEN path = '' THEN '(root)' ELSE label END || CASE WHEN is_terminal THEN ':1' ELSE '' END AS line FROM n")
+def tree_lines(spark, d):
+    return tree.lines(_column(spark, d, "part", "p_name"))
+
+
+_FOREST = """
+WITH w AS (SELECT DISTINCT p_name AS w, CAST(length(p_name) AS INTEGER) AS len FROM part),
+p AS (SELECT w, len, n, substr(w, 1, n) AS path, CASE WHEN n < length(w) THEN substr(w, n + 1, 1) END AS nxt FROM (SELECT w, len, unnest(range(0, length(w) + 1)) AS n FROM w) q),
+k AS (SELECT len, path FROM p GROUP BY len, path HAVING bool_or(path = w) OR count(DISTINCT nxt) >= 2 OR path = ''),
+a AS (SELECT c.len, c.path, max(length(b.path)) AS up FROM k c JOIN k b ON b.len = c.len AND b.path <> c.path AND starts_with(c.path, b.path) GROUP BY c.len, c.path),
+n AS (SELECT len, path, substr(path, 1, up) AS parent, substr(path, up + 1) AS label FROM a UNION ALL SELECT len, path, NULL, '' FROM k WHERE path = '')
+"""
+
+
+@query(f"{_FOREST} SELECT b.label AS parent, c.label AS child FROM n c JOIN n b ON c.len = b.len AND c.parent = b.path")
+def forest_edges(spark, d):
+    """A tree for each length of text."""
+    return sets.LengthSet(spark, _column(spark, d, "part", "p_name")).graph()
+
+
+@query("SELECT count(*) = count(DISTINCT p_name) AS valid FROM (SELECT DISTINCT p_name FROM part) q")
+def forest_validate(spark, d):
+    return spark.createDataFrame([(sets.LengthSet(spark, _column(spark, d, "part", "p_name")).validate(),)], "valid boolean")
+
+
 # searches
 
 
@@ -316,6 +342,24 @@ def anchored_affine(spark, d):
     return search.similarity_join(_dna(spark, d, "query"), _dna(spark, d, "target"), 2, mode="extension", cost_matrix=_costs(), gap_cost=1, gap_open_cost=2)
 
 
+#: Names with letters of two bytes.
+_WIDE = "translate(n_name, 'AEIO', 'ÀÉÎÕ')"
+_WIDE_PAIRS = f"(SELECT q.s AS query, t.s AS target FROM (SELECT DISTINCT {_WIDE} AS s FROM nation) q CROSS JOIN (SELECT DISTINCT {_WIDE} AS s FROM nation) t)"
+
+
+def _costs_of(*columns: tuple[DataFrame, str]) -> CostMatrix:
+    """Costs as SUB has them, of all characters of some columns."""
+    found = chars(*columns)
+    return CostMatrix({q: {t: 0 if q == t else 1 + (ord(q) * 7 + ord(t) * 3) % 3 for t in found} for q in found})
+
+
+@query(_global_sql(_WIDE_PAIRS, 2, None, 2))
+def global_linear_nonascii(spark, d):
+    """Costs of characters of several bytes: the distance counts characters."""
+    rows = _table(spark, d, "nation").select(F.expr(_WIDE).alias("sequence")).distinct()
+    return search.similarity_join(rows, rows, 2, cost_matrix=_costs_of((rows, "sequence")), gap_cost=2, query="sequence", target="sequence", unit="char")
+
+
 def _single_gap_sql(pairs: str, gap: int, limit: int) -> str:
     ham = "coalesce(list_sum([CAST(substr({a}, i, 1) <> substr({b}, i, 1) AS INTEGER) for i in range(1, least(length({a}), length({b})) + 1)]), 0)"
     pre = "coalesce(list_sum([CAST(substr(query, i, 1) <> substr(target, i, 1) AS INTEGER) for i in range(1, p)]), 0)"
@@ -345,10 +389,11 @@ def topn_per_query(spark, d):
 _IDS = "CAST(r_regionkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS target_id, r_name AS query, n_name AS target"
 
 
-def _matrix(spark: SparkSession, d: str, mode: str) -> DataFrame:
+def _matrix(spark: SparkSession, d: str, mode: str, **gaps: int) -> DataFrame:
     q = _table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("qid"), F.col("r_name").alias("query"))
     t = _table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("tid"), F.col("n_name").alias("target"))
-    return dist_matrix(q, t, mode, query_id="qid", target_id="tid")
+    costs = {"cost_matrix": _costs_of((q, "query"), (t, "target")), **gaps} if gaps else {}
+    return dist_matrix(q, t, mode, query_id="qid", target_id="tid", **costs)
 
 
 @query(f"SELECT {_IDS}, CASE WHEN length(r_name) = length(n_name) THEN CAST(coalesce({_HAMMING.format(q='r_name', t='n_name')}, 0) AS INTEGER) END AS distance FROM region CROSS JOIN nation")
@@ -369,6 +414,20 @@ def dist_matrix_an(spark, d):
     return _matrix(spark, d, "anchored")
 
 
+def _weighted_matrix_sql(gap: int, opening: int | None) -> str:
+    return f"{_dp_sql(_RN, gap, opening)}, an AS (SELECT query, target, CAST(col[n + 1] AS INTEGER) AS distance FROM cell WHERE j = m) SELECT {_IDS}, distance FROM region CROSS JOIN nation JOIN an ON an.query = r_name AND an.target = n_name"
+
+
+@query(_weighted_matrix_sql(2, None))
+def dist_matrix_linear(spark, d):
+    return _matrix(spark, d, "global", gap_cost=2)
+
+
+@query(_weighted_matrix_sql(1, 2))
+def dist_matrix_affine(spark, d):
+    return _matrix(spark, d, "global", gap_cost=1, gap_open_cost=2)
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("query"), F.col("p_type").alias("target"))
 
@@ -393,11 +452,8 @@ def dist_pairwise_an(spark, d):
 
 
 def _pair_costs(spark: SparkSession, d: str) -> CostMatrix:
-    from .functions.distance import charset as chars
-
     p = _pairs(spark, d)
-    found = chars((p, "query"), (p, "target"))
-    return CostMatrix({q: {t: 0 if q == t else 1 + (ord(q) * 7 + ord(t) * 3) % 3 for t in found} for q in found})
+    return _costs_of((p, "query"), (p, "target"))
 
 
 def _pairwise_sql(gap: int, opening: int | None, kind: str) -> str:
