@@ -20,7 +20,6 @@ ENDED_BY = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt"
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 REST = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPACE = re.compile(r"\s+")
 
 MAIN, PLAIN, BOILER = 2, 1, 0
 
@@ -33,26 +32,31 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """
     at, quotes = 0, True
     while (start := page.find("<", at)) >= 0:
-        at = start + 1
-        if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            at = (yield start, len(page) if end < 0 else end + 3, False, "", "") or (len(page) if end < 0 else end + 3)
-            continue
         m = NAME.match(page, start)
-        if not m and page[start + 1 : start + 2] not in ("!", "?"):
-            continue
-        end = page.find(">", start) + 1
-        if not end:
-            return
-        if not m:
+        if m:
+            end = m.end()
+            if page.startswith(">", end):
+                end += 1
+            else:
+                end = page.find(">", end) + 1
+                if not end:
+                    return
+                if quotes:
+                    whole = REST.match(page, m.end())
+                    quotes = bool(whole)
+                    end = whole.end() if whole else end
+            at = (yield start, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]) or end
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
             at = (yield start, end, False, "", "") or end
-            continue
-        if quotes and m.end() < end:
-            whole = REST.match(page, m.end())
-            quotes = bool(whole)
-            end = whole.end() if whole else end
-        end = max(end, m.end())
-        at = (yield start, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]) or end
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start) + 1
+            if not end:
+                return
+            at = (yield start, end, False, "", "") or end
+        else:
+            at = start + 1
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
@@ -65,7 +69,9 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     kind, at = PLAIN, 0
 
     def close() -> None:
-        text = SPACE.sub(" ", html.unescape("".join(held))).strip()
+        if not held:
+            return
+        text = " ".join(html.unescape("".join(held)).split())
         if text:
             out.append((text, kind))
         held.clear()
@@ -74,7 +80,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     tag = next(found, None)
     while tag:
         start, end, closing, name, rest = tag
-        held.append(page[at:start])
+        if start > at:
+            held.append(page[at:start])
         at = end
         if name in RAW and not closing:
             last = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)

@@ -40,6 +40,7 @@ VERSION, EPOCH = "WARC/1.1", "1970-01-01T00:00:00Z"
 #: What a record begins with, and a member of gzip (fixed values).
 MAGIC, MEMBER = re.compile(rb"WARC/\d+\.\d+\r?\n"), b"\x1f\x8b\x08"
 CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+SAID = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I | re.A)
 #: Types of records that have derived ones; bytes that a file is read by.
 SOURCES, READ = ("response", "resource"), 1 << 20
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space (fixed value)
@@ -62,7 +63,7 @@ def record(kind: str, block: bytes, headers: list[tuple[str, str]]) -> bytes:
 
 def named(head: bytes) -> tuple[str, list[tuple[str, str]]]:
     """First line, and names and values of the lines that follow; a line that begins with white space goes on with the one before."""
-    first, *rest = re.split("\r?\n", head.decode("utf-8", "replace"))
+    first, *rest = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
     found: list[tuple[str, str]] = []
     for line in rest:
         if line[:1] in (" ", "\t") and found:
@@ -141,14 +142,12 @@ def _text(body: bytes, content_type: str) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if body.startswith(mark):
             return body[len(mark) :].decode(name, "replace")
-    said = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type, re.I)
-    meta = CHARSET.search(body[:2048])
-    for name in (said and said[1], meta and meta[1].decode("ascii", "replace"), "utf-8"):
-        try:
-            return body.decode(name, "replace") if name else body.decode("utf-8")
-        except (LookupError, UnicodeDecodeError):
-            pass
-    return ""
+    said = SAID.search(content_type)
+    meta = None if said else CHARSET.search(body[:2048])
+    try:
+        return body.decode(said[1] if said else meta[1].decode("ascii") if meta else "utf-8", "replace")
+    except LookupError:  # no charset of that name
+        return body.decode("utf-8", "replace")
 
 
 def response(page_id: int | None, url: str | None, date: str | None, payload: str | None) -> bytes:
@@ -171,11 +170,12 @@ def derive(source: bytes) -> list[bytes]:
     http = headers.get("content-type", "application/http").lower().startswith("application/http") and headers["warc-type"].lower() == "response"
     status, fields, body, page = payload(block, http)
     text = "\n".join(t for t, _ in lines(page)).encode("utf-8", "replace")
-    own = digest(block[_head(block, 0)[1] :] if http else block)
+    paid = headers.get("warc-payload-digest") or digest(block[_head(block, 0)[1] :] if http else block)
+    blocked = headers.get("warc-block-digest") or digest(block)
     uri, date = headers.get("warc-target-uri", "").strip("<>"), headers.get("warc-date", EPOCH)
-    origin = headers.get("warc-record-id") or record_id("source", uri, date, digest(block))
+    origin = headers.get("warc-record-id") or record_id("source", uri, date, blocked)
     names = {kind: record_id(kind, origin) for kind in ("metadata", "conversion")}
-    about = {"http-status": status, "http-headers": [list(x) for x in fields], "source-payload-digest": headers.get("warc-payload-digest", own), "source-block-digest": headers.get("warc-block-digest", digest(block)), "source-length": len(body), "conversion": names["conversion"], "conversion-digest": digest(text)}
+    about = {"http-status": status, "http-headers": [list(x) for x in fields], "source-payload-digest": paid, "source-block-digest": blocked, "source-length": len(body), "conversion": names["conversion"], "conversion-digest": digest(text)}
     common = [("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", origin), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
     if "warc-page-id" in headers:
         common.append(("WARC-Page-ID", headers["warc-page-id"]))
