@@ -1,9 +1,11 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are dealt by length, longest first, into blocks of bounded size. Queries are dealt into blocks too,
-and every block of queries meets every block of vectors, once. The block of the longest vectors is searched
-first and gives each query a lower bound of its k-th score. That bound over a block's largest length is the
-local cosine threshold: above 1 the block is skipped for that query; where it is high, candidates are those
+Vectors are dealt by length, longest first, into blocks of bounded size, in the narrowest integers that hold them.
+Queries are dealt into blocks too. The block of the longest vectors is searched first and gives each query a lower
+bound of its k-th score. A block of queries and a block of vectors meet only if the longest vector can reach the bound
+of one of the queries, which is found from the blocks' lengths alone, before any vectors are shuffled; a block of
+vectors then goes to one task, or to a few where there are fewer blocks than tasks. The bound over a block's largest
+length is the local cosine threshold: above 1 the block is skipped for that query; where it is high, candidates are those
 whose largest query coordinates lie in the range that the threshold leaves (coordinate pruning); where it is
 low, those that are long enough (length pruning). Remaining products are computed exactly in integers, and a
 query's best rows of all blocks are merged, ties to the smaller id.
@@ -57,7 +59,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             m = np.zeros((len(held), dim), np.int64)
             for row, (_, v, _) in zip(m, held, strict=True):
                 row[: len(v)] = v
-            out = [[base + made], [len(held)], [dim], [float(np.sqrt(max(n for _, _, n in held)))], [np.array([k for k, _, _ in held], np.int64).tobytes()], [m.tobytes()]]
+            out = [[base + made], [len(held)], [dim], [float(np.sqrt(max(n for _, _, n in held)))], [np.array([k for k, _, _ in held], np.int64).tobytes()], [_narrow(m).tobytes()]]
             made += 1
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["block", "n", "dim", "longest", "ids", "vectors"])
@@ -76,8 +78,18 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return placed.mapInArrow(run, BLOCKS)
 
 
+def _narrow(m: np.ndarray) -> np.ndarray:
+    """m in the narrowest integers that hold all of it."""
+    least, most = (int(m.min()), int(m.max())) if m.size else (0, 0)
+    return m.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
 def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dim) if dim else np.zeros((len(ids) // 8, 0), np.int64)
+    """A block's ids and vectors; its integers are as wide as its bytes tell."""
+    n = len(ids) // 8
+    if not n * dim:
+        return np.frombuffer(ids, np.int64), np.zeros((n, dim), np.int64)
+    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, f"<i{len(vectors) // (n * dim)}").reshape(n, dim).astype(np.int64)
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -148,6 +160,13 @@ def _search(k: int):
     return run
 
 
+def _needed(bounds: np.ndarray, lengths: np.ndarray) -> float:
+    """The least length of a vector that can reach the bound of one of the queries of these lengths."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(bounds > 0, bounds / lengths, -np.inf)  # a bound up to zero is in reach of short vectors too
+    return float(need.min(initial=np.inf)) * (1 - 1e-9)
+
+
 def _keep(out: list, query: int, ids: np.ndarray, scores: np.ndarray, k: int, bound: int | None) -> None:
     some = ids != query
     if bound is not None:
@@ -170,9 +189,9 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
     n = partitions(spark)
     search = _search(k)
 
-    # first pass: every block of queries with the first block of vectors
+    # first pass: every block of queries with the first block of vectors, which is one row
     longest = blocks.filter(F.col("block") == first)
-    pairs = queries.withColumn("block", F.explode(F.array(F.lit(first)))).join(longest, "block").withColumn("bounds", F.lit(None).cast("binary")).repartition(n)
+    pairs = queries.repartition(n).withColumn("block", F.lit(first)).join(F.broadcast(longest), "block").withColumn("bounds", F.lit(None).cast("binary"))
     head = stored(pairs.mapInArrow(search, FOUND), "top-first")
 
     # second pass: the other blocks, below the bounds that the first pass has left
@@ -183,8 +202,9 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["q_ids"], np.int64)
                 known = {x["query_id"]: x["bound"] for x in r["known"] or () if x["bound"] is not None}
-                r["bounds"] = np.array([known.get(int(x), np.iinfo(np.int64).min) for x in ids], np.int64).tobytes()
-                yield pa.RecordBatch.from_pylist([{c: r[c] for c in ("q_block", "q_dim", "q_ids", "q_vectors", "bounds")}], schema=pa.schema([("q_block", pa.int64()), ("q_dim", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("bounds", pa.binary())]))
+                lengths = np.linalg.norm(_matrix(r["q_ids"], r["q_vectors"], r["q_dim"])[1].astype(float), axis=1)
+                bounds = np.array([known.get(int(x), np.iinfo(np.int64).min) for x in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]], pa.int64()), pa.array([bounds.tobytes()], pa.binary()), pa.array([_needed(bounds, lengths)], pa.float64())], ["q_block", "bounds", "need"])
 
     def ids_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +214,18 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
 
     member = queries.select("q_block", "q_ids").mapInArrow(ids_of, "q_block long, query_id long")
     known = member.join(kth, "query_id").groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bound")).alias("known"))  # of a block's queries
-    ready = queries.join(known, "q_block", "left").mapInArrow(bounded, "q_block long, q_dim int, q_ids binary, q_vectors binary, bounds binary")
+    ready = stored(queries.join(known, "q_block", "left").mapInArrow(bounded, "q_block long, bounds binary, need double"), "query-bounds")
     rest = blocks.filter(F.col("block") != first)
-    names = rest.agg(F.collect_list("block")).first()[0]  # one number for each block
-    each = ready.withColumn("block", F.explode(F.array(*[F.lit(x) for x in names]) if names else F.expr("cast(array() as array<bigint>)")))
-    tail = each.join(rest, "block").repartition(n).mapInArrow(search, FOUND)
+    # blocks are numbered by task, so a table of tasks, which has at most n rows, leads to those that are long enough
+    lengths = rest.select("block", "longest")
+    tasks = lengths.groupBy(F.shiftright("block", 32).alias("task")).agg(F.max("longest").alias("task_longest"), F.max("block").alias("last"))
+    able = ready.select("q_block", "need").join(F.broadcast(tasks), F.col("task_longest") >= F.col("need"))
+    able = able.select("q_block", "need", F.explode(F.sequence(F.shiftleft("task", 32), "last")).alias("block"))
+    parts = F.lit(max(1, -(-n // max(1, rest.count()))))  # copies of a block where there are fewer blocks than tasks
+    pairs = able.join(lengths, "block").filter("longest >= need").select("q_block", "block", F.pmod(F.xxhash64("q_block"), parts).cast("int").alias("part"))
+    asking = pairs.join(queries, "q_block").join(ready.select("q_block", "bounds"), "q_block").repartition(n, "block", "part")
+    asked_of = rest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).repartition(n, "block", "part")
+    tail = asking.join(asked_of.hint("merge"), ["block", "part"]).mapInArrow(search, FOUND)
     ranked = head.unionByName(tail).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
