@@ -9,9 +9,10 @@ key. The keys of two segments together are what fingerprints meet by; differing
 
 Equal fingerprints are one node, whatever the number of documents. Within the fingerprints of a key, links
 that span each cluster are found by search from one fingerprint to the next, each leaving the search when
-reached, so pairs are not listed. Where a key has more than MOST fingerprints, those meet instead at every
-point within two bits of both (2,081 points each, and at most 2,081 fingerprints at a point), which loses no
-link either and grows in proportion. Components follow by Spark joins.
+reached, so pairs are not listed. A key of more than MOST fingerprints is divided by five blocks of their bits, of
+which one is equal where at most four bits differ, so five rows take the place of one. Where such a part again has
+more than MOST, its fingerprints meet at every point within two bits of both (2,081 points each, and at most 2,081
+fingerprints at a point). Neither loses a link, and both grow in proportion. Components follow by Spark joins.
 
 Null and empty texts have no words; a very long text is hashed as one row. Rows without an id get their component's id but lend none; repeated rows are
 separate rows of one component. Empty tables give no rows; other columns are ignored.
@@ -26,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,6 +35,8 @@ from .shared import numbered, own, partitions, stored
 
 #: Differing bits of a link; bits of the segments; fingerprints of a key that one search takes.
 BITS, SEGMENTS, MOST = 4, (22, 21, 21), 4096
+#: Bits of the blocks that divide a full key; one block more than BITS.
+BLOCKS = (13, 13, 13, 13, 12)
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
 GOLAY = 0b110001110101
 SEED = 42
@@ -196,14 +199,38 @@ def _points(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64).ravel(), pa.int64()), pa.array(np.repeat(part, points.shape[1]), pa.int64())], ["point", "fp"])
 
 
+def _full(keys: DataFrame, most: int, name: str) -> DataFrame:
+    return stored(keys.groupBy("key").count().filter(F.col("count") > most).select("key"), name)
+
+
+def _met(keys: DataFrame, full: DataFrame, n: int) -> DataFrame:
+    """Links of the keys that are not full."""
+    return keys.join(full, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_cold, "a long, b long")
+
+
+def _parts() -> list[Column]:
+    """Keys of a full key's parts: the key (26 bits), a block's number (3) and its bits (13)."""
+    out, shift = [], 0
+    for k, bits in enumerate(BLOCKS):
+        block = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
+        out.append(F.shiftleft("key", 16).bitwiseOR(F.lit(k << 13)).bitwiseOR(block))
+        shift += bits
+    return out
+
+
 def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     """Links (a, b) that connect all of the column fp's distinct values that differ in at most four bits."""
     spark = distinct.sparkSession
     n = partitions(spark)
     keys = distinct.select("fp").repartition(n).mapInArrow(_keys, "key long, fp long")
-    full = stored(keys.groupBy("key").count().filter(F.col("count") > most).select("key"), "full-keys")
-    cold = keys.join(full, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_cold, "a long, b long")
-    hot = keys.join(full, "key").select("fp").distinct()
+    full = _full(keys, most, "full-keys")
+    cold = _met(keys, full, n)
+    if full.isEmpty():
+        return cold
+    parts = keys.join(full, "key").select(F.explode(F.array(*_parts())).alias("key"), "fp")
+    full_parts = _full(parts, most, "full-parts")
+    cold = cold.unionByName(_met(parts, full_parts, n))
+    hot = parts.join(full_parts, "key").select("fp").distinct()
     points = hot.mapInArrow(_points, "point long, fp long")
     met = points.groupBy("point").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)  # at most 2,081
     star = met.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).filter("a != b").select("a", "b")
