@@ -1,6 +1,7 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are dealt by length, longest first, into blocks of bounded size, in the narrowest integers that hold them.
+Vectors are dealt by length, longest first, into blocks of bounded size, in the narrowest integers that hold them
+(by places in the whole order, so that their number does not follow the number of tasks).
 Queries are dealt into blocks too. The block of the longest vectors is searched first and gives each query a lower
 bound of its k-th score. A block of queries and a block of vectors meet only if the longest vector can reach the bound
 of one of the queries, which is found from the blocks' lengths alone, before any vectors are shuffled; a block of
@@ -45,9 +46,14 @@ def integral(vectors: DataFrame, scale: int, key: str, column: str) -> DataFrame
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most `size` vectors of similar length, longest first within each task."""
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Stored blocks of less than twice `size` vectors of similar length, numbered from 0, longest first.
+
+    Each task makes blocks of its range of lengths; those that start in the same `size` places of the whole order
+    are then put together, so their number follows that of the vectors and not that of the tasks.
+    """
     spark = rows.sparkSession
+    n = partitions(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -59,10 +65,10 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             m = np.zeros((len(held), dim), np.int64)
             for row, (_, v, _) in zip(m, held, strict=True):
                 row[: len(v)] = v
-            out = [[base + made], [len(held)], [dim], [float(np.sqrt(max(n for _, _, n in held)))], [np.array([k for k, _, _ in held], np.int64).tobytes()], [_narrow(m).tobytes()]]
+            out = _block(base + made, dim, float(np.sqrt(max(x for _, _, x in held))), np.array([k for k, _, _ in held], np.int64).tobytes(), m)
             made += 1
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["block", "n", "dim", "longest", "ids", "vectors"])
+            return out
 
         for batch in batches:
             lists, norms = batch.column(1), batch.column(2).to_numpy()
@@ -74,8 +80,29 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield block()
 
-    placed = rows.repartitionByRange(partitions(spark), F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-    return placed.mapInArrow(run, BLOCKS)
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                parts = sorted(r["parts"], key=lambda p: p["block"])
+                dim = max(p["dim"] for p in parts)
+                m = np.concatenate([np.pad(v, ((0, 0), (0, dim - v.shape[1]))) for v in (_matrix(p["ids"], p["vectors"], p["dim"])[1] for p in parts)])
+                yield _block(r["place"], dim, max(p["longest"] for p in parts), b"".join(p["ids"] for p in parts), m)
+
+    placed = rows.repartitionByRange(n, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
+    made = stored(placed.mapInArrow(run, BLOCKS), name + "-parts")
+    task = F.shiftright("block", 32)
+    sizes = made.groupBy(task.alias("task")).agg(F.sum("n").alias("rows"))  # at most n rows
+    starts = sizes.select("task", (F.sum("rows").over(Window.orderBy("task")) - F.col("rows")).alias("before"))
+    place = F.floor((F.col("before") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) * size) / size)
+    parts = made.join(F.broadcast(starts), task == F.col("task")).select(place.alias("place"), F.struct("block", "dim", "longest", "ids", "vectors").alias("part"))
+    return stored(parts.groupBy("place").agg(F.collect_list("part").alias("parts")).mapInArrow(merged, BLOCKS), name)
+
+
+def _block(number: int, dim: int, longest: float, ids: bytes, m: np.ndarray) -> pa.RecordBatch:
+    """A block as a row of BLOCKS."""
+    row = [[number], [len(m)], [dim], [longest], [ids], [_narrow(m).tobytes()]]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["block", "n", "dim", "longest", "ids", "vectors"])
 
 
 def _narrow(m: np.ndarray) -> np.ndarray:
@@ -180,9 +207,9 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
     """For each row whose id is divisible by `every`, the k rows with the largest inner products: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = integral(vectors, scale, key, column)
-    blocks = stored(_blocks(rows, BLOCK), "vector-blocks")
-    asked = _blocks(rows.filter(F.col("id") % every == 0), QUERY_BLOCK)
-    queries = stored(asked.select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
+    blocks = _blocks(rows, BLOCK, "vector-blocks")
+    asked = _blocks(rows.filter(F.col("id") % every == 0), QUERY_BLOCK, "query-blocks")
+    queries = asked.select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     first = blocks.agg(F.min("block")).first()[0]  # the longest vectors
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -216,12 +243,13 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
     known = member.join(kth, "query_id").groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bound")).alias("known"))  # of a block's queries
     ready = stored(queries.join(known, "q_block", "left").mapInArrow(bounded, "q_block long, bounds binary, need double"), "query-bounds")
     rest = blocks.filter(F.col("block") != first)
-    # blocks are numbered by task, so a table of tasks, which has at most n rows, leads to those that are long enough
-    lengths = rest.select("block", "longest")
-    tasks = lengths.groupBy(F.shiftright("block", 32).alias("task")).agg(F.max("longest").alias("task_longest"), F.max("block").alias("last"))
-    able = ready.select("q_block", "need").join(F.broadcast(tasks), F.col("task_longest") >= F.col("need"))
-    able = able.select("q_block", "need", F.explode(F.sequence(F.shiftleft("task", 32), "last")).alias("block"))
-    parts = F.lit(max(1, -(-n // max(1, rest.count()))))  # copies of a block where there are fewer blocks than tasks
+    # a table of ranges of blocks, which has at most n rows, leads to those that are long enough
+    lengths, n_rest = rest.select("block", "longest"), max(1, rest.count())
+    wide = -(-n_rest // n)
+    ranges = lengths.groupBy(F.floor(F.col("block") / wide).alias("range")).agg(F.max("longest").alias("most"), F.min("block").alias("low"), F.max("block").alias("high"))
+    able = ready.select("q_block", "need").join(F.broadcast(ranges), F.col("most") >= F.col("need"))
+    able = able.select("q_block", "need", F.explode(F.sequence("low", "high")).alias("block"))
+    parts = F.lit(-(-n // n_rest))  # copies of a block where there are fewer blocks than tasks
     pairs = able.join(lengths, "block").filter("longest >= need").select("q_block", "block", F.pmod(F.xxhash64("q_block"), parts).cast("int").alias("part"))
     asking = pairs.join(queries, "q_block").join(ready.select("q_block", "bounds"), "q_block").repartition(n, "block", "part")
     asked_of = rest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).repartition(n, "block", "part")
