@@ -167,6 +167,26 @@ def brute_components(rows):
     return {i: (f"{prints[i]:016x}", find(i)) for i in ids}
 
 
+@pytest.mark.parametrize("most", [40, 8, 1])
+def test_simhash_full_keys(spark, most):
+    r = np.random.default_rng(5)
+    fps = {0x0123456789ABCDEF ^ int(x) << 43 for x in r.integers(0, 1 << 20, 60)}  # two segments are equal in all
+    for x in sorted(fps)[:25]:
+        fps.add(x ^ sum(1 << int(b) for b in r.choice(63, r.integers(1, 6), replace=False)))
+    fps = sorted(fps)
+    root = {x: x for x in fps}
+    changed = True
+    while changed:
+        changed = False
+        for x in fps:
+            least = min(root[y] for y in fps if (x ^ y).bit_count() <= 4)
+            changed |= least < root[x]
+            root[x] = min(least, root[x])
+    found = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), most))
+    got = {x: x for x in fps} | {x["node"]: x["root"] for x in found.collect()}
+    assert len(set(root.values())) < len(fps) and got == root
+
+
 @pytest.mark.parametrize("most", [4096, 1])
 def test_simhash(spark, rows_, most):
     rows = rows_[:90] + [(1000 + k, rows_[0][1]) for k in range(3)]
