@@ -1,16 +1,21 @@
 """Toxicity scores: nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are lower-cased words and their first letters, and marks that a term occurs 2, 4, 8, ... times. Of at most
-EXAMPLES labelled documents (least hashed ids first) all terms that go with the label, in LEAST_DOCS documents and
-by a chi-square of LEAST_CHI2 at least, make the vocabulary, with one term that every text has. Examples with
-equal vectors are one entry with counts. The index has the entries' weights by term, in blocks of similar entries
-(only of blocks that have the term), and of each term the greatest weight in each block. A query adds those up to bound every block, looks into the best blocks first, and ends when no other
-block can hold one of the NEAREST entries; all entries as near as the last one count. Their labels vote with
-weights that fall with distance; a logistic curve fitted on the examples, each without its own vote, makes the
-vote a probability. Evidence are ids of examples at the nearest entries.
-
-Index and vocabulary are bounded by the examples and go to all executors. Null texts are empty; an empty text is scored by
-the term that every text has.
+Terms are all lower-cased words of at most EXAMPLES labelled documents (least hashed ids first), and one term that
+every text has; none is selected. A term's weight in a text is (1 + log times) * idf * rf ** RELEVANCE, where rf, the
+relevance factor log2(2 + examples with the label / examples without), is about 1 for most words and large for words
+that go with the label. Words that no example has weigh nothing. Examples with equal words are one entry with counts.
+
+The index has a postings list for each term. Terms in over COMMON of the entries, whose postings are long and weigh
+little, also have the greatest weight in each block of BLOCK similar entries. A query adds up the postings of its
+other terms, bounds each block by that and by its common terms' greatest weights, looks into the best blocks first,
+and then into all that can still hold one of the NEAREST entries; all entries as near as the last one count. Their
+labels vote with weights that fall with distance; a logistic curve fitted on the examples, each without its own vote
+(counted on the executors), makes the vote a probability. Evidence are ids of examples at the nearest entries.
+
+Index and vocabulary are bounded by the examples and go to all executors. Null texts are empty; an empty text is
+scored by the term that every text has; a very long text is counted whole. Repeated rows are scored alike, and each
+labelled one is an example. An empty table gives no rows; without labelled rows every score is 0. Of other columns
+score_toxicity takes none and reject_toxic gives all back, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,143 +32,126 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, sample
-from .shared import own
-
-#: Labelled documents used at most; entries that vote; entries of a block.
-EXAMPLES, NEAREST, BLOCK = 6000, 12, 64
-#: A term's lengths; its least documents and chi-square; the weight of the term that every text has.
-LENGTHS, LEAST_DOCS, LEAST_CHI2, ALWAYS = (4, 5, 6, 7), 4, 15.0, 1.0
+from .shared import own, partitions
+
+#: Labelled documents used at most; entries that vote; entries of a block; blocks looked into first.
+EXAMPLES, NEAREST, BLOCK, FIRST = 6000, 12, 64, 4
+#: Share of the entries above which a term is common; power of the relevance factor; weight of the term that every text has.
+COMMON, RELEVANCE, ALWAYS = 1 / 16, 2, 1.0
+#: Cosines closer than this are equal.
+TIE = 1e-9
 WORD = re.compile(r"[^\W\d_]+")
 
-
-def grams(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in LENGTHS if len(word) >= n)]
+Vector = tuple[tuple[int, int], ...]
 
 
 def counted(text: str | None) -> Counter:
-    """Occurrences of all terms without marks."""
-    out: Counter = Counter()
-    for word, n in Counter(WORD.findall((text or "").lower())).items():
-        for g in grams(word):
-            out[g] += n
-    return out
-
-
-def levels(n: int) -> list[int]:
-    """1, 2, 4, ... up to n."""
-    return [1 << k for k in range(n.bit_length())]
-
-
-def choose(present: Counter, with_label: Counter, which: dict[tuple[str, int], int], n: int, n_label: int) -> list[str]:
-    """Terms by chi-square with the label, each as 'gram' and its least occurrences; of terms that are prefixes of one another in the same documents, the longest.
-
-    which: of each term, a hash of the set of its documents.
-    """
-    scored: dict[tuple[int, int], list[tuple[str, str, float]]] = {}
-    for (gram, level), df in present.items():
-        a = with_label[gram, level]
-        if df < LEAST_DOCS or a * n <= df * n_label:
-            continue
-        chi2 = n * (a * (n - n_label - (df - a)) - (n_label - a) * (df - a)) ** 2 / max(1, df * (n - df) * n_label * (n - n_label))
-        if chi2 >= LEAST_CHI2:
-            scored.setdefault((which[gram, level], level), []).append((gram.rstrip("*"), gram, chi2))
-    kept = []
-    for (_, level), same in scored.items():
-        same.sort()  # a term is followed by those it is a prefix of
-        for k, (stem, gram, chi2) in enumerate(same):
-            if k + 1 == len(same) or not same[k + 1][0].startswith(stem):
-                kept.append((chi2, gram, level))
-    best = sorted(kept, key=lambda x: (-x[0], x[1], x[2]))
-    return [f"{gram}\t{level}" for _, gram, level in best]
+    """How often a text has each word."""
+    return Counter(WORD.findall((text or "").lower()))
 
 
 class Vectors:
-    """Texts as sparse TF-IDF vectors over a vocabulary."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.idf = idf
-        self.by_gram: dict[str, list[tuple[int, int]]] = {}
-        for i, term in enumerate(terms):
-            gram, _, level = term.partition("\t")
-            self.by_gram.setdefault(gram, []).append((int(level), i + 1))
-        self.cache: dict[str, tuple[str, ...]] = {}
-
-    def known(self, word: str) -> tuple[str, ...]:
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            found = self.cache[word] = tuple(g for g in grams(word) if g in self.by_gram)
-        return found
-
-    def terms(self, text: str | None) -> tuple[int, ...]:
-        """The vocabulary's terms that a text has; 0 is the one that every text has."""
-        n: Counter = Counter()
-        for found in filter(None, map(self.known, WORD.findall((text or "").lower()))):
-            n.update(found)
-        return (0, *sorted(i for g, times in n.items() for level, i in self.by_gram[g] if level <= times))
-
-    def weights(self, terms: tuple[int, ...]) -> np.ndarray:
-        w = self.idf[list(terms)]
-        return w / np.sqrt((w * w).sum())
+    """Texts as TF-IDF vectors over the words of the examples; place 0 is the term that every text has."""
+
+    def __init__(self, examples: list[tuple[Counter, int]]):
+        present: Counter = Counter()
+        with_label: Counter = Counter()
+        for words, label in examples:
+            present.update(words.keys())
+            if label:
+                with_label.update(words.keys())
+        terms = sorted(present)
+        self.place = {term: k + 1 for k, term in enumerate(terms)}
+        df = np.array([present[t] for t in terms], float)
+        yes = np.array([with_label[t] for t in terms], float)
+        idf = 1 + np.log((1 + len(examples)) / (1 + df))
+        relevance = np.log2(2 + yes / np.maximum(1, df - yes))
+        self.term_weight = np.concatenate([[ALWAYS], idf * relevance**RELEVANCE])
+
+    def vector(self, words: Counter) -> Vector:
+        """Places and times of a text's known words."""
+        place = self.place.get
+        return ((0, 1), *sorted((k, n) for k, n in ((place(w), n) for w, n in words.items()) if k))
+
+    def weights(self, v: Vector) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a vector of length 1."""
+        terms, times = np.array(v, np.int64).T
+        w = (1 + np.log(times)) * self.term_weight[terms]
+        return terms, w / np.sqrt(w @ w)
 
 
 class Index:
-    """Block-max inverted index of distinct example vectors."""
-
-    def __init__(self, vectors: list[tuple[int, ...]], labels: list[int], ids: list[int], make: Vectors, n_terms: int):
-        by: dict[tuple[int, ...], list[int]] = {}
-        for k, v in enumerate(vectors):
-            by.setdefault(v, []).append(k)
-        self.names = sorted(by, key=lambda v: tuple(-x for x in sorted(v, reverse=True)))  # rare terms first, so that a block's entries are alike
-        self.place = {v: e for e, v in enumerate(self.names)}
-        self.n = np.array([len(by[v]) for v in self.names], float)
-        self.hits = np.array([sum(labels[k] for k in by[v]) for v in self.names], float)
-        self.ids = [[ids[k] for k in by[v][:3]] for v in self.names]
-        self.blocks, self.n_terms = max(1, -(-len(self.names) // BLOCK)), n_terms
-        weights = [make.weights(v) for v in self.names]
-        at = np.array([t * self.blocks + e // BLOCK for e, v in enumerate(self.names) for t in v], np.int64)
-        entry = np.array([e % BLOCK for e, v in enumerate(self.names) for _ in v], np.int64)
-        # a tile has the weights of one term in one block; tiles lie by term, then block
-        found, tile = np.unique(at, return_inverse=True)
-        self.tiles = np.zeros((len(found), BLOCK))
-        self.tiles[tile, entry] = np.concatenate(weights) if weights else []
-        self.tile_block = found % self.blocks
-        self.firsts = np.searchsorted(found, np.arange(n_terms + 1) * self.blocks)
-        self.most = self.tiles.max(1, initial=0.0)
-
-    @property
-    def by_term(self) -> np.ndarray:
-        """All weights, by term and entry."""
-        out = np.zeros((self.n_terms, self.blocks, BLOCK))
-        out[np.repeat(np.arange(self.n_terms), np.diff(self.firsts)), self.tile_block] = self.tiles
-        return out.reshape(self.n_terms, -1)
-
-    def nearest(self, terms: tuple[int, ...], weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Block-max inverted index of the examples (id, text, label)."""
+
+    def __init__(self, rows: list[tuple[int, str, int]]):
+        self.block = BLOCK
+        words = [counted(text) for _, text, _ in rows]
+        self.make = Vectors([(w, label) for w, (_, _, label) in zip(words, rows, strict=True)])
+        by: dict[Vector, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(self.make.vector(w), []).append(k)
+        found = []
+        for v, examples in by.items():
+            terms, weights = self.make.weights(v)
+            heaviest = terms[np.lexsort((terms, -weights))][:8].tolist()  # a block's entries are alike
+            found.append((heaviest, v, terms, weights, examples))
+        found.sort(key=lambda x: x[:2])
+        self.entry = {self._name(v): e for e, (_, v, _, _, _) in enumerate(found)}
+        self.n = np.array([len(x[4]) for x in found], float)
+        self.hits = np.array([sum(rows[k][2] for k in x[4]) for x in found], float)
+        self.ids = [[rows[k][0] for k in x[4][:3]] for x in found]
+        self.blocks = max(1, -(-len(found) // self.block))
+        self._post([x[2] for x in found], [x[3] for x in found])
+
+    @staticmethod
+    def _name(v: Vector) -> bytes:
+        return xxhash.xxh128_digest(np.array(v, np.int64).tobytes())
+
+    def _post(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        """Postings by term, then entry; weights and block maxima of common terms by their rows."""
+        n_terms = len(self.make.term_weight)
+        term = np.concatenate([*terms, np.zeros(0, np.int64)])
+        order = np.argsort(term, kind="stable")
+        self.entries = np.repeat(np.arange(len(terms)), [len(x) for x in terms]).astype(np.int32)[order]
+        self.posted = np.concatenate([*weights, np.zeros(0)])[order]
+        self.firsts = np.searchsorted(term[order], np.arange(n_terms + 1))
+        common = np.flatnonzero(np.diff(self.firsts) > COMMON * len(terms))
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.tiles = np.zeros((len(common), self.blocks, self.block))
+        for row, t in enumerate(common):
+            some = slice(self.firsts[t], self.firsts[t + 1])
+            self.tiles[row].reshape(-1)[self.entries[some]] = self.posted[some]
+        self.most = self.tiles.max(2)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines: the NEAREST best and all that tie with the last, exactly."""
-        own_tiles = np.concatenate([np.arange(self.firsts[t], self.firsts[t + 1]) for t in terms])
-        blocks, times = self.tile_block[own_tiles], np.repeat(weights, [self.firsts[t + 1] - self.firsts[t] for t in terms])
-        bounds = np.bincount(blocks, times * self.most[own_tiles], self.blocks)
+        rows = self.row[terms]
+        rare, common, by_common = terms[rows < 0], rows[rows >= 0], weights[rows >= 0]
+        n = self.firsts[rare + 1] - self.firsts[rare]
+        at = np.repeat(self.firsts[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums = np.bincount(self.entries[at], self.posted[at] * np.repeat(weights[rows < 0], n), self.blocks * self.block).astype(float)
+        sums[len(self.n) :] = -np.inf
+        if without is not None:
+            sums[without] = -np.inf
+        sums = sums.reshape(self.blocks, self.block)
+        bounds = sums.max(1) + by_common @ self.most[common]
         order = np.argsort(-bounds, kind="stable")
-        by_block = np.argsort(blocks, kind="stable")
-        ends = np.searchsorted(blocks[by_block], np.arange(self.blocks + 1))
-        found, cosines, least, at = [], [], -1.0, 0
-        while at < len(order) and bounds[order[at]] >= least - 1e-12:
-            some = order[at : at + 4]
-            at += 4
-            entries = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            here = [by_block[ends[k] : ends[k + 1]] for k in some]
-            near = np.array([times[x] @ self.tiles[own_tiles[x]] for x in here]).ravel()
-            keep = entries < len(self.names)
-            if without is not None:
-                keep &= entries != without
-            found.append(entries[keep])
-            cosines.append(near[keep])
-            c = np.concatenate(cosines)
-            if len(c) >= NEAREST:
-                least = np.partition(c, len(c) - NEAREST)[len(c) - NEAREST]
-        entries, c = np.concatenate(found), np.concatenate(cosines)
-        keep = c >= least - 1e-12
+
+        def look(some: np.ndarray) -> None:
+            sums[some] += np.tensordot(by_common, self.tiles[common[:, None], some], 1)
+
+        def least() -> float:
+            return float(np.partition(sums.ravel(), -NEAREST)[-NEAREST])
+
+        look(order[:FIRST])
+        rest = order[FIRST:]
+        rest = rest[bounds[rest] >= least() - TIE]
+        look(rest)
+        inside = np.sort(np.concatenate([order[:FIRST], rest]))
+        entries = (inside[:, None] * self.block + np.arange(self.block)).ravel()
+        c = sums[inside].ravel()
+        keep = (c >= least() - TIE) & np.isfinite(c)
         entries, c = entries[keep], c[keep]
         o = np.lexsort((entries, -c))
         return entries[o], c[o]
@@ -175,12 +163,13 @@ class Index:
         prior = self.hits.sum() / max(1.0, self.n.sum())
         return float((w @ share + prior) / (w.sum() + 1))
 
-    def own_vote(self, v: tuple[int, ...], weights: np.ndarray, label: int) -> float:
+    def own_vote(self, text: str, label: int) -> float:
         """An example's vote without its own."""
-        e = self.place[v]
+        v = self.make.vector(counted(text))
+        e = self.entry[self._name(v)]
         n, hits = self.n[e], self.hits[e]
         self.n[e], self.hits[e] = n - 1, hits - label
-        out = self.vote(*self.nearest(v, weights, e if n == 1 else None))
+        out = self.vote(*self.nearest(*self.make.weights(v), e if n == 1 else None))
         self.n[e], self.hits[e] = n, hits
         return out
 
@@ -207,57 +196,46 @@ def _odds(p: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """A fitted index; score() gives probability and evidence of a text's terms."""
+    """Probability and evidence of texts; equal texts are scored once."""
 
-    def __init__(self, rows: list[tuple[int, str, int]]):
-        marked = lambda text: [(g, level) for g, n in counted(text).items() for level in levels(n)]
-        with_label: Counter = Counter()
-        for _, text, label in rows:
-            if label:
-                with_label.update(marked(text))
-        with_label = Counter({g: n for g, n in with_label.items() if n > 1})
-        present: Counter = Counter()
-        which: dict[tuple[str, int], int] = {}
-        for k, (_, text, _) in enumerate(rows):
-            mark = xxhash.xxh64_intdigest(k.to_bytes(8, "little"))
-            for g in marked(text):
-                if g in with_label:
-                    present[g] += 1
-                    which[g] = which.get(g, 0) ^ mark
-        n, n_label = len(rows), sum(r[2] for r in rows)
-        terms = choose(present, with_label, which, n, n_label)
-        idf = [ALWAYS] + [1 + np.log((1 + n) / (1 + present[g, int(level)])) for g, _, level in (t.partition("\t") for t in terms)]
-        self.make = Vectors(terms, np.array(idf))
-        vectors = [self.make.terms(text) for _, text, _ in rows]
-        self.index = Index(vectors, [r[2] for r in rows], [r[0] for r in rows], self.make, len(terms) + 1)
-        self.slope, self.intercept = 1.0, 0.0
-        if rows:
-            known: dict[tuple, float] = {}
-            for v, (_, _, label) in zip(vectors, rows, strict=True):
-                if (v, label) not in known:
-                    known[v, label] = self.index.own_vote(v, self.make.weights(v), label)
-            votes = np.array([known[v, label] for v, (_, _, label) in zip(vectors, rows, strict=True)])
-            self.slope, self.intercept = curve(votes, np.array([r[2] for r in rows], float))
-        self.make.cache.clear()
-        self.seen: dict[tuple[int, ...], tuple[float, list[int]]] = {}
+    def __init__(self, index: Index, slope: float, intercept: float):
+        self.index, self.slope, self.intercept = index, slope, intercept
+        self.seen: dict[bytes, tuple[float, list[int]]] = {}
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        v = self.make.terms(text)
-        if v not in self.seen:
+        index = self.index
+        if not len(index.n):
+            return 0.0, []
+        name = xxhash.xxh128_digest(text or "")
+        if name not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            if not self.index.names:
-                return 0.0, []
-            entries, cosines = self.index.nearest(v, self.make.weights(v))
-            p = 1 / (1 + np.exp(-(self.slope * _odds(np.array(self.index.vote(entries, cosines))) + self.intercept)))
-            self.seen[v] = float(p), [x for e in entries[:3].tolist() for x in self.index.ids[e][:1]]
-        return self.seen[v]
+            entries, cosines = index.nearest(*index.make.weights(index.make.vector(counted(text))))
+            p = 1 / (1 + np.exp(-(self.slope * _odds(np.array(index.vote(entries, cosines))) + self.intercept)))
+            self.seen[name] = float(p), [x for e in entries[:3].tolist() for x in index.ids[e][:1]]
+        return self.seen[name]
+
+
+def fit(examples: DataFrame) -> Scorer:
+    """A scorer from bounded rows doc_id, text, label."""
+    rows = examples.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()  # bounded by the sample
+    index = Index([(r["doc_id"], r["text"], r["label"]) for r in rows])
+
+    def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("toxicity")
+        for b in batches:
+            out = [index.own_vote(text, label) for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], ["label", "vote"])
+
+    spread = examples.select("text", "label").repartition(partitions(examples.sparkSession), "text")
+    known = sorted((r["vote"], r["label"]) for r in spread.mapInArrow(votes, "label int, vote double").collect()) if rows else []
+    slope, intercept = curve(np.array([v for v, _ in known]), np.array([y for _, y in known], float)) if known else (1.0, 0.0)
+    return Scorer(index, slope, intercept)
 
 
 def _scored(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, threshold: float, most: int, text: str, key: str) -> DataFrame:
     """docs' columns, named by their places, then held_out, score, predicted and evidence."""
-    rows = sample(docs, labels, "toxic", modulus, remainder, most, text, key).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()  # bounded by `most`
-    fitted = Scorer([(r["doc_id"], r["text"], r["label"]) for r in rows])
+    fitted = fit(sample(docs, labels, "toxic", modulus, remainder, most, text, key))
     place, key_place = docs.columns.index(text), docs.columns.index(key)
     docs = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])

@@ -439,20 +439,6 @@ def test_classifiers(spark, op, column, modulus, remainder):
     assert op(frame(spark, docs), table.limit(0)).count() == len(docs)
 
 
-def test_nearest_is_exact():
-    docs, labels = labelled(300)
-    fitted = toxicity.Scorer([(i, t, y) for (i, t), (_, _, y) in zip(docs, labels, strict=True)])
-    index, make = fitted.index, fitted.make
-    dense = index.by_term[:, : len(index.names)]
-    for _, text in docs[:60]:
-        v = make.terms(text)
-        w = make.weights(v)
-        entries, cosines = index.nearest(v, w)
-        full = w @ dense[list(v)]
-        least = np.sort(full)[::-1][min(toxicity.NEAREST, len(full)) - 1]
-        assert set(entries) == set(np.flatnonzero(full >= least - 1e-12)) and np.allclose(full[entries], cosines)
-
-
 # 10
 
 
