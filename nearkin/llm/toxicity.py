@@ -34,17 +34,14 @@ from pyspark.sql import types as T
 from .labelled import held_out, sample
 from .shared import own, partitions
 
-#: Labelled documents used at most; entries that vote; entries of a block; blocks looked into first.
-EXAMPLES, NEAREST, BLOCK, FIRST = 6000, 12, 64, 4
+#: Labelled documents used at most; entries that vote; entries of a block; blocks looked into first; texts scored at once.
+EXAMPLES, NEAREST, BLOCK, FIRST, TOGETHER = 6000, 12, 64, 4, 64
 #: Share of the entries above which a term is common; power of the relevance factor; weight of the term that every text has.
 COMMON, RELEVANCE, ALWAYS = 1 / 16, 2, 1.0
 #: Cosines closer than this are equal.
 TIE = 1e-9
 WORD = re.compile(r"[^\W\d_]+")
 
-Vector = tuple[tuple[int, int], ...]
-
-
 def counted(text: str | None) -> Counter:
     """How often a text has each word."""
     return Counter(WORD.findall((text or "").lower()))
@@ -53,108 +50,125 @@ def counted(text: str | None) -> Counter:
 class Vectors:
     """Texts as TF-IDF vectors over the words of the examples; place 0 is the term that every text has."""
 
-    def __init__(self, examples: list[tuple[Counter, int]]):
-        present: Counter = Counter()
-        with_label: Counter = Counter()
-        for words, label in examples:
-            present.update(words.keys())
-            if label:
-                with_label.update(words.keys())
-        terms = sorted(present)
-        self.place = {term: k + 1 for k, term in enumerate(terms)}
-        df = np.array([present[t] for t in terms], float)
-        yes = np.array([with_label[t] for t in terms], float)
-        idf = 1 + np.log((1 + len(examples)) / (1 + df))
+    def __init__(self, rows: list[tuple[int, str, int]]):
+        self.place: dict[str, int] = {}
+        found, with_label = [], []
+        for _, text, label in rows:
+            for word in (words := counted(text)):
+                self.place.setdefault(word, len(self.place) + 1)
+            found.append(self.counts(words)[0])
+            with_label.append(np.full(len(found[-1]), label))
+        terms = np.concatenate([*found, np.zeros(0, np.int64)])
+        df = np.bincount(terms, minlength=len(self.place) + 1)[1:]
+        yes = np.bincount(terms, np.concatenate([*with_label, np.zeros(0)]), len(self.place) + 1)[1:]
+        idf = 1 + np.log((1 + len(rows)) / (1 + df))
         relevance = np.log2(2 + yes / np.maximum(1, df - yes))
         self.term_weight = np.concatenate([[ALWAYS], idf * relevance**RELEVANCE])
 
-    def vector(self, words: Counter) -> Vector:
-        """Places and times of a text's known words."""
-        place = self.place.get
-        return ((0, 1), *sorted((k, n) for k, n in ((place(w), n) for w, n in words.items()) if k))
-
-    def weights(self, v: Vector) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights of a vector of length 1."""
-        terms, times = np.array(v, np.int64).T
+    def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Places and times of a text's known words, by place."""
+        place = self.place
+        terms = np.array([0, *[place.get(w, -1) for w in words]])
+        times = np.array([1, *words.values()])
+        order = np.argsort(terms, kind="stable")
+        order = order[np.searchsorted(terms[order], 0) :]
+        return terms[order], times[order]
+
+    def weights(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Weights of a vector of length 1."""
         w = (1 + np.log(times)) * self.term_weight[terms]
-        return terms, w / np.sqrt(w @ w)
+        return w / np.sqrt(w @ w)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a text."""
+        terms, times = self.counts(counted(text))
+        return terms, self.weights(terms, times)
 
 
 class Index:
     """Block-max inverted index of the examples (id, text, label)."""
 
     def __init__(self, rows: list[tuple[int, str, int]]):
-        self.block = BLOCK
-        words = [counted(text) for _, text, _ in rows]
-        self.make = Vectors([(w, label) for w, (_, _, label) in zip(words, rows, strict=True)])
-        by: dict[Vector, list[int]] = {}
-        for k, w in enumerate(words):
-            by.setdefault(self.make.vector(w), []).append(k)
-        found = []
-        for v, examples in by.items():
-            terms, weights = self.make.weights(v)
-            heaviest = terms[np.lexsort((terms, -weights))][:8].tolist()  # a block's entries are alike
-            found.append((heaviest, v, terms, weights, examples))
-        found.sort(key=lambda x: x[:2])
-        self.entry = {self._name(v): e for e, (_, v, _, _, _) in enumerate(found)}
-        self.n = np.array([len(x[4]) for x in found], float)
-        self.hits = np.array([sum(rows[k][2] for k in x[4]) for x in found], float)
-        self.ids = [[rows[k][0] for k in x[4][:3]] for x in found]
-        self.blocks = max(1, -(-len(found) // self.block))
-        self._post([x[2] for x in found], [x[3] for x in found])
+        self.make, self.block = Vectors(rows), BLOCK
+        by: dict[bytes, list[int]] = {}
+        vectors: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        order = []
+        for k, (_, text, _) in enumerate(rows):
+            terms, times = self.make.counts(counted(text))
+            name = self._name(terms, times)
+            by.setdefault(name, []).append(k)
+            if name not in vectors:
+                weights = self.make.weights(terms, times)
+                vectors[name] = terms, weights
+                order.append((terms[np.lexsort((terms, -weights))][:8].tolist(), name))  # a block's entries are alike
+        order.sort()
+        names = [name for _, name in order]
+        self.entry = {name: e for e, name in enumerate(names)}
+        self.n = np.array([len(by[x]) for x in names], float)
+        self.hits = np.array([sum(rows[k][2] for k in by[x]) for x in names], float)
+        self.ids = [[rows[k][0] for k in by[x][:3]] for x in names]
+        self.blocks = max(1, -(-len(names) // self.block))
+        self._post([vectors[x][0] for x in names], [vectors[x][1] for x in names])
 
     @staticmethod
-    def _name(v: Vector) -> bytes:
-        return xxhash.xxh128_digest(np.array(v, np.int64).tobytes())
+    def _name(terms: np.ndarray, times: np.ndarray) -> bytes:
+        return xxhash.xxh128_digest(np.concatenate([terms, times]).tobytes())
 
     def _post(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
-        """Postings by term, then entry; weights and block maxima of common terms by their rows."""
+        """Postings by term, then entry; of common terms also their rows, in each block, and block maxima."""
         n_terms = len(self.make.term_weight)
         term = np.concatenate([*terms, np.zeros(0, np.int64)])
         order = np.argsort(term, kind="stable")
-        self.entries = np.repeat(np.arange(len(terms)), [len(x) for x in terms]).astype(np.int32)[order]
+        self.entries = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) for x in terms])[order]
         self.posted = np.concatenate([*weights, np.zeros(0)])[order]
         self.firsts = np.searchsorted(term[order], np.arange(n_terms + 1))
         common = np.flatnonzero(np.diff(self.firsts) > COMMON * len(terms))
         self.row = np.full(n_terms, -1)
         self.row[common] = np.arange(len(common))
-        self.tiles = np.zeros((len(common), self.blocks, self.block))
+        self.tiles = np.zeros((self.blocks, len(common), self.block))
         for row, t in enumerate(common):
             some = slice(self.firsts[t], self.firsts[t + 1])
-            self.tiles[row].reshape(-1)[self.entries[some]] = self.posted[some]
-        self.most = self.tiles.max(2)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines: the NEAREST best and all that tie with the last, exactly."""
-        rows = self.row[terms]
-        rare, common, by_common = terms[rows < 0], rows[rows >= 0], weights[rows >= 0]
-        n = self.firsts[rare + 1] - self.firsts[rare]
-        at = np.repeat(self.firsts[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        sums = np.bincount(self.entries[at], self.posted[at] * np.repeat(weights[rows < 0], n), self.blocks * self.block).astype(float)
-        sums[len(self.n) :] = -np.inf
-        if without is not None:
-            sums[without] = -np.inf
-        sums = sums.reshape(self.blocks, self.block)
-        bounds = sums.max(1) + by_common @ self.most[common]
-        order = np.argsort(-bounds, kind="stable")
-
-        def look(some: np.ndarray) -> None:
-            sums[some] += np.tensordot(by_common, self.tiles[common[:, None], some], 1)
-
-        def least() -> float:
-            return float(np.partition(sums.ravel(), -NEAREST)[-NEAREST])
-
-        look(order[:FIRST])
-        rest = order[FIRST:]
-        rest = rest[bounds[rest] >= least() - TIE]
-        look(rest)
-        inside = np.sort(np.concatenate([order[:FIRST], rest]))
-        entries = (inside[:, None] * self.block + np.arange(self.block)).ravel()
-        c = sums[inside].ravel()
-        keep = (c >= least() - TIE) & np.isfinite(c)
-        entries, c = entries[keep], c[keep]
-        o = np.lexsort((entries, -c))
-        return entries[o], c[o]
+            block, place = np.divmod(self.entries[some], self.block)
+            self.tiles[block, row, place] = self.posted[some]
+        self.most = self.tiles.max(2).T
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector, entries and cosines: the NEAREST best and all that tie with the last, exactly."""
+        size, q = self.blocks * self.block, len(vectors)
+        sums, by_common = np.empty((q, size)), np.zeros((q, len(self.most)))
+        for k, (terms, weights) in enumerate(vectors):
+            rows = self.row[terms]
+            rare = rows < 0
+            by_common[k, rows[~rare]] = weights[~rare]
+            first = self.firsts[terms[rare]]
+            n = self.firsts[terms[rare] + 1] - first
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            sums[k] = np.bincount(self.entries[at], self.posted[at] * np.repeat(weights[rare], n), size)
+            if without and without[k] is not None:
+                sums[k, without[k]] = -np.inf
+        sums[:, len(self.n) :] = -np.inf
+        cells = sums.reshape(q, self.blocks, self.block)
+        bounds = cells.max(2) + by_common @ self.most
+
+        def look(wanted: np.ndarray) -> np.ndarray:
+            """Completes the wanted blocks and gives the NEAREST-th best of what is known then."""
+            for b in np.flatnonzero(wanted.any(0)):
+                some = np.flatnonzero(wanted[:, b])
+                cells[some, b] += by_common[some] @ self.tiles[b]
+            return np.partition(sums, -NEAREST, 1)[:, -NEAREST]
+
+        first = np.zeros((q, self.blocks), bool)
+        np.put_along_axis(first, np.argsort(-bounds, 1, kind="stable")[:, :FIRST], True, 1)
+        least = look(first)
+        rest = (bounds >= least[:, None] - TIE) & ~first
+        least = look(rest)
+        cells[~(first | rest)] = -np.inf
+        out = []
+        for c, low in zip(sums, least, strict=True):
+            entries = np.flatnonzero((c >= low - TIE) & (c > -np.inf))
+            entries = entries[np.lexsort((entries, -c[entries]))]
+            out.append((entries, c[entries]))
+        return out
 
     def vote(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Votes by distance, drawn a little to the examples' share of the label."""
@@ -163,14 +177,17 @@ class Index:
         prior = self.hits.sum() / max(1.0, self.n.sum())
         return float((w @ share + prior) / (w.sum() + 1))
 
-    def own_vote(self, text: str, label: int) -> float:
-        """An example's vote without its own."""
-        v = self.make.vector(counted(text))
-        e = self.entry[self._name(v)]
-        n, hits = self.n[e], self.hits[e]
-        self.n[e], self.hits[e] = n - 1, hits - label
-        out = self.vote(*self.nearest(*self.make.weights(v), e if n == 1 else None))
-        self.n[e], self.hits[e] = n, hits
+    def own_votes(self, texts: list[str], labels: list[int]) -> list[float]:
+        """Examples' votes, each without its own."""
+        found = [self.make.counts(counted(x)) for x in texts]
+        entries = [self.entry[self._name(*x)] for x in found]
+        without = [e if self.n[e] == 1 else None for e in entries]
+        out = []
+        for e, label, near in zip(entries, labels, self.nearest([(x[0], self.make.weights(*x)) for x in found], without), strict=True):
+            n, hits = self.n[e], self.hits[e]
+            self.n[e], self.hits[e] = n - 1, hits - label
+            out.append(self.vote(*near))
+            self.n[e], self.hits[e] = n, hits
         return out
 
 
@@ -202,18 +219,25 @@ class Scorer:
         self.index, self.slope, self.intercept = index, slope, intercept
         self.seen: dict[bytes, tuple[float, list[int]]] = {}
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
         index = self.index
         if not len(index.n):
-            return 0.0, []
-        name = xxhash.xxh128_digest(text or "")
-        if name not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            entries, cosines = index.nearest(*index.make.weights(index.make.vector(counted(text))))
-            p = 1 / (1 + np.exp(-(self.slope * _odds(np.array(index.vote(entries, cosines))) + self.intercept)))
-            self.seen[name] = float(p), [x for e in entries[:3].tolist() for x in index.ids[e][:1]]
-        return self.seen[name]
+            return [(0.0, [])] * len(texts)
+        if len(self.seen) > 50_000:
+            self.seen.clear()
+        names = [xxhash.xxh128_digest(x or "") for x in texts]
+        new = {name: x for name, x in zip(names, texts, strict=True) if name not in self.seen}
+        for name, near in zip(new, index.nearest([index.make.vector(x) for x in new.values()]), strict=True):
+            p = 1 / (1 + np.exp(-(self.slope * _odds(np.array(index.vote(*near))) + self.intercept)))
+            self.seen[name] = float(p), [x for e in near[0][:3].tolist() for x in index.ids[e][:1]]
+        return [self.seen[name] for name in names]
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most TOGETHER rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, TOGETHER):
+            yield b.slice(k, TOGETHER)
 
 
 def fit(examples: DataFrame) -> Scorer:
@@ -223,8 +247,8 @@ def fit(examples: DataFrame) -> Scorer:
 
     def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("toxicity")
-        for b in batches:
-            out = [index.own_vote(text, label) for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        for b in pieces(batches):
+            out = index.own_votes(b.column(0).to_pylist(), b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], ["label", "vote"])
 
     spread = examples.select("text", "label").repartition(partitions(examples.sparkSession), "text")
@@ -242,8 +266,8 @@ def _scored(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, th
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("toxicity")
-        for b in batches:
-            out = [fitted.score(x.as_py()) for x in b.column(place)]
+        for b in pieces(batches):
+            out = fitted.scores(b.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=[*b.schema.names, "score", "evidence"])
 
     scored = docs.mapInArrow(run, schema)

@@ -90,10 +90,10 @@ def test_against_plain_version(spark, monkeypatch):
     rows = corpus()
     plain = Plain(rows)
     fitted = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
-    assert 0 < len(fitted.index.tiles) < len(fitted.index.make.term_weight)  # both kinds of terms
+    assert 0 < len(fitted.index.most) < len(fitted.index.make.term_weight)  # both kinds of terms
     assert abs(fitted.slope - plain.a) < 1e-3 and abs(fitted.intercept - plain.b) < 1e-3
-    for text in [*(t for _, t, _ in corpus(60, 9)), None, "", "unknownword", "rotten", "the " * 5000]:
-        p, evidence = fitted.score(text)
+    texts = [*(t for _, t, _ in corpus(60, 9)), None, "", "unknownword", "rotten", "the " * 5000]
+    for text, (p, evidence) in zip(texts, fitted.scores(texts), strict=True):
         assert abs(p - plain.score(text)) < 1e-3
         assert evidence and set(evidence) <= {i for i, _, _ in rows}
 
@@ -103,8 +103,9 @@ def test_votes_are_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "FIRST", 1)
     rows = corpus()
     plain, index = Plain(rows), toxicity.Index(rows)
-    for i, text, y in rows:
-        assert abs(index.own_vote(text, y) - plain.vote(text, (i, y))) < 1e-9
+    votes = index.own_votes([t for _, t, _ in rows], [y for _, _, y in rows])
+    for (i, text, y), vote in zip(rows, votes, strict=True):
+        assert abs(vote - plain.vote(text, (i, y))) < 1e-9
 
 
 def test_no_word_is_left_out():
@@ -115,4 +116,4 @@ def test_no_word_is_left_out():
 def test_few_examples(spark):
     for rows in ([(1, "one", 1)], [(1, "", 0), (2, "two words", 1)]):
         fitted = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
-        assert all(0 <= fitted.score(t)[0] <= 1 for t in (None, "", "one", "two", "three"))
+        assert all(0 <= p <= 1 for p, _ in fitted.scores([None, "", "one", "two", "three"]))
