@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,10 @@ def counted(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(x.max(initial=0)))
+
+
 class Vectors:
     """Texts as TF-IDF vectors over the words of the examples; place 0 is the term that every text has."""
 
@@ -99,7 +104,7 @@ class Index:
             by.setdefault(name, []).append(k)
             if name not in vectors:
                 weights = self.make.weights(terms, times)
-                vectors[name] = terms, weights
+                vectors[name] = terms.astype(np.int32), times.astype(np.int32)
                 order.append((terms[np.lexsort((terms, -weights))][:8].tolist(), name))  # a block's entries are alike
         order.sort()
         names = [name for _, name in order]
@@ -114,16 +119,27 @@ class Index:
     def _name(terms: np.ndarray, times: np.ndarray) -> bytes:
         return xxhash.xxh128_digest(np.concatenate([terms, times]).tobytes())
 
-    def _post(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
-        """Postings by term, then entry; of common terms also their rows, in each block, and block maxima."""
-        n_terms = len(self.make.term_weight)
-        term = np.concatenate([*terms, np.zeros(0, np.int64)])
+    def _post(self, terms: list[np.ndarray], times: list[np.ndarray]) -> None:
+        """Postings by term, then entry, as narrow integers; weights are made where they are used."""
+        term = np.concatenate([*terms, np.zeros(0, np.int32)])
         order = np.argsort(term, kind="stable")
-        self.entries = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) for x in terms])[order]
-        self.posted = np.concatenate([*weights, np.zeros(0)])[order]
-        self.firsts = np.searchsorted(term[order], np.arange(n_terms + 1))
-        common = np.flatnonzero(np.diff(self.firsts) > COMMON * len(terms))
-        self.row = np.full(n_terms, -1)
+        self.where = _narrow(np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) for x in terms])[order])
+        self.times = _narrow(np.concatenate([*times, np.zeros(0, np.int32)])[order])
+        self.lengths = _narrow(np.bincount(term, minlength=len(self.make.term_weight)))
+        self.tiles = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "tiles": None, "most": None, "posted": None, "entries": None, "firsts": None, "row": None}
+
+    def _spread(self) -> None:
+        """Weights of the postings, and of common terms their rows, tiles of each block, and block maxima."""
+        lengths, weight = self.lengths.astype(np.int64), self.make.term_weight
+        self.firsts = np.concatenate([[0], np.cumsum(lengths)])
+        self.entries = self.where.astype(np.int64)
+        self.posted = (1 + np.log(self.times, dtype=np.float64)) * np.repeat(weight, lengths)
+        self.posted /= np.sqrt(np.bincount(self.entries, self.posted**2, len(self.n)))[self.entries]
+        common = np.flatnonzero(lengths > COMMON * len(self.n))
+        self.row = np.full(len(weight), -1)
         self.row[common] = np.arange(len(common))
         self.tiles = np.zeros((self.blocks, len(common), self.block))
         for row, t in enumerate(common):
@@ -134,6 +150,8 @@ class Index:
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector, entries and cosines: the NEAREST best and all that tie with the last, exactly."""
+        if self.tiles is None:
+            self._spread()
         size, q = self.blocks * self.block, len(vectors)
         sums, by_common = np.empty((q, size)), np.zeros((q, len(self.most)))
         for k, (terms, weights) in enumerate(vectors):
@@ -213,14 +231,14 @@ def _odds(p: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Probability and evidence of texts; equal texts are scored once."""
+    """Probability and evidence of texts by a broadcast index; equal texts are scored once."""
 
-    def __init__(self, index: Index, slope: float, intercept: float):
+    def __init__(self, index: Broadcast[Index], slope: float, intercept: float):
         self.index, self.slope, self.intercept = index, slope, intercept
         self.seen: dict[bytes, tuple[float, list[int]]] = {}
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        index = self.index
+        index = self.index.value
         if not len(index.n):
             return [(0.0, [])] * len(texts)
         if len(self.seen) > 50_000:
@@ -243,12 +261,12 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(examples: DataFrame) -> Scorer:
     """A scorer from bounded rows doc_id, text, label."""
     rows = examples.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()  # bounded by the sample
-    index = Index([(r["doc_id"], r["text"], r["label"]) for r in rows])
+    index = examples.sparkSession.sparkContext.broadcast(Index([(r["doc_id"], r["text"], r["label"]) for r in rows]))
 
     def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("toxicity")
         for b in pieces(batches):
-            out = index.own_votes(b.column(0).to_pylist(), b.column(1).to_pylist())
+            out = index.value.own_votes(b.column(0).to_pylist(), b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], ["label", "vote"])
 
     spread = examples.select("text", "label").repartition(partitions(examples.sparkSession), "text")

@@ -90,12 +90,12 @@ def test_against_plain_version(spark, monkeypatch):
     rows = corpus()
     plain = Plain(rows)
     fitted = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
-    assert 0 < len(fitted.index.most) < len(fitted.index.make.term_weight)  # both kinds of terms
     assert abs(fitted.slope - plain.a) < 1e-3 and abs(fitted.intercept - plain.b) < 1e-3
     texts = [*(t for _, t, _ in corpus(60, 9)), None, "", "unknownword", "rotten", "the " * 5000]
     for text, (p, evidence) in zip(texts, fitted.scores(texts), strict=True):
         assert abs(p - plain.score(text)) < 1e-3
         assert evidence and set(evidence) <= {i for i, _, _ in rows}
+    assert 0 < len(fitted.index.value.most) < len(fitted.index.value.make.term_weight)  # both kinds of terms
 
 
 def test_votes_are_exact(monkeypatch):
