@@ -269,7 +269,7 @@ def fit(examples: DataFrame) -> Scorer:
             out = index.value.own_votes(b.column(0).to_pylist(), b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], ["label", "vote"])
 
-    spread = examples.select("text", "label").repartition(partitions(examples.sparkSession), "text")
+    spread = examples.select("text", "label").repartition(partitions(examples.sparkSession))
     known = sorted((r["vote"], r["label"]) for r in spread.mapInArrow(votes, "label int, vote double").collect()) if rows else []
     slope, intercept = curve(np.array([v for v, _ in known]), np.array([y for _, y in known], float)) if known else (1.0, 0.0)
     return Scorer(index, slope, intercept)
