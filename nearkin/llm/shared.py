@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -33,8 +34,16 @@ def own(name: str, release: Callable[[], None] | None = None) -> None:
             if other != name:
                 drop()
         _owner = name
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        release_unused()
+
+
+def release_unused() -> None:
+    """Gives freed memory of this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

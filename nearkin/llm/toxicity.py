@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, sample
-from .shared import own, partitions
+from .shared import own, partitions, release_unused
 
 #: Labelled documents used at most; entries that vote; entries of a block; blocks looked into first; texts scored at once.
 EXAMPLES, NEAREST, BLOCK, FIRST, TOGETHER = 6000, 12, 64, 4, 64
@@ -135,7 +135,7 @@ class Index:
         """Weights of the postings, and of common terms their rows, tiles of each block, and block maxima."""
         lengths, weight = self.lengths.astype(np.int64), self.make.term_weight
         self.firsts = np.concatenate([[0], np.cumsum(lengths)])
-        self.entries = self.where.astype(np.int64)
+        self.entries = self.where.astype(np.int32)
         self.posted = (1 + np.log(self.times, dtype=np.float64)) * np.repeat(weight, lengths)
         self.posted /= np.sqrt(np.bincount(self.entries, self.posted**2, len(self.n)))[self.entries]
         common = np.flatnonzero(lengths > COMMON * len(self.n))
@@ -147,6 +147,7 @@ class Index:
             block, place = np.divmod(self.entries[some], self.block)
             self.tiles[block, row, place] = self.posted[some]
         self.most = self.tiles.max(2).T
+        release_unused()
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector, entries and cosines: the NEAREST best and all that tie with the last, exactly."""
@@ -241,7 +242,7 @@ class Scorer:
         index = self.index.value
         if not len(index.n):
             return [(0.0, [])] * len(texts)
-        if len(self.seen) > 50_000:
+        if len(self.seen) > 10_000:
             self.seen.clear()
         names = [xxhash.xxh128_digest(x or "") for x in texts]
         new = {name: x for name, x in zip(names, texts, strict=True) if name not in self.seen}
