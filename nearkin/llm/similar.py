@@ -39,8 +39,8 @@ from .simhash import SEED, golay_tables, one_of_each, shingle_hashes
 SHINGLE, SIMILARITY, MOST = 5, 0.8, 512
 #: Words of 64 hash bits; words that are compared; differing bits of a link in them; Golay-coded segments of the rest.
 WORDS, FINGERPRINT, BITS, SEGMENTS = 20, 3, 60, 47
-#: Nodes of a key that are compared by shifts of the whole block; rows of a block.
-SHIFTS, BLOCK = 256, 1 << 17
+#: Nodes of a key that are compared by shifts of the whole block; rows of a block; links of a row that are held.
+SHIFTS, BLOCK, LINKS = 256, 1 << 17, 8
 #: What gives each word its own hash bits (fixed values), and an odd multiplier that mixes them.
 ORDERS = np.append(np.uint64(0), np.random.default_rng(SEED).integers(0, 1 << 63, WORDS - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -120,16 +120,21 @@ def fingerprint_links(keys: np.ndarray, marks: list[np.ndarray]) -> tuple[np.nda
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return sum(np.bitwise_count(m[x] ^ m[y]) for m in marks) <= BITS
 
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        a.append(x)
+        b.append(y)
+        if sum(map(len, a)) > LINKS * max(BLOCK, len(keys)):
+            a[:], b[:] = ([x] for x in forest(np.concatenate(a), np.concatenate(b)))
+
     at = np.flatnonzero((ends - firsts <= SHIFTS)[np.cumsum(new) - 1])
     for shift in range(1, SHIFTS):
         at = at[at + shift < end[at]]
         if not len(at):
             break
         found = at[near(at, at + shift)]
-        a.append(found)
-        b.append(found + shift)
+        add(found, found + shift)
     for k in np.flatnonzero(ends - firsts > SHIFTS):
-        left = np.arange(firsts[k], ends[k])
+        left = np.arange(firsts[k], ends[k])  # each row leaves once, so a key has no more links than rows
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
             while queue and len(left):

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from nearkin.llm import simhash, similar
+from nearkin.llm.components import forest
 
 
 def near_copies(seed=21):
@@ -153,3 +154,12 @@ def test_units_of_keys(monkeypatch, shifts, block):
         for unit, n, node in zip(*(c.to_pylist() for c in b.columns), strict=True):
             found.setdefault((unit, n), set()).add(node)
     assert {frozenset(x) for x in found.values()} == want and all(n == len(x) for (_, n), x in found.items())
+
+
+def test_links_of_clusters_are_few(monkeypatch):
+    """Keys full of near copies keep a bounded number of links, which connect as all do."""
+    monkeypatch.setattr(similar, "BLOCK", 100)
+    keys = np.repeat(np.arange(8), 250)
+    a, b = similar.fingerprint_links(keys, [np.zeros(2000, np.uint64)] * similar.FINGERPRINT)
+    child, root = forest(a, b)
+    assert len(a) <= (similar.LINKS + 1) * 2000 and len(child) == 8 * 249 and set(root) == set(range(0, 2000, 250))
