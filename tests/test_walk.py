@@ -9,7 +9,7 @@ from nearkin.functions import walk
 from nearkin.functions.costs import CostMatrix
 from nearkin.functions.kernels import batches
 from nearkin.functions.params import Costs
-from nearkin.operators import search
+from nearkin.operators import search, split
 from nearkin.plans import cells
 
 UNEVEN = CostMatrix({q: {t: 0 if q == t else 1 + (ord(q) * 7 + ord(t) * 3) % 3 for t in "ACGT"} for q in "ACGT"})
@@ -66,6 +66,7 @@ SEARCHES = {
     "anchored_linear": lambda q, t: search.similarity_join(q, t, 2, mode="an", cost_matrix=UNEVEN, gap_cost=2),
     "global_affine": lambda q, t: search.similarity_join(q, t, 3, cost_matrix=UNEVEN, gap_cost=1, gap_open_cost=2),
     "global_linear": lambda q, t: search.similarity_join(q, t, 2, cost_matrix=UNEVEN, gap_cost=2),
+    "split_search": lambda q, t: split.split_search(q, t, 12, 12, max_distance=3),
     "anchored_affine": lambda q, t: search.similarity_join(q, t, 2, mode="extension", cost_matrix=UNEVEN, gap_cost=1, gap_open_cost=2),
 }
 
